@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import fingerprints, mixing, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": sharding.op3_sharding,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLES: dict[str, str] = {
