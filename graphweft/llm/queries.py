@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, quality_rules, sharding
+from . import fingerprints, mixing, pii, quality_rules, secrets, sharding, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1_pii,
     "op3_sharding": sharding.op3_sharding,
+    "op4_url_filters": url_filters.op4_url_filters,
+    "op5_secrets": secrets.op5_secrets,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_mixing": mixing.op8_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_url_filters": url_filters.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
 }
