@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, pii, quality_rules, secrets, sharding, url_filters
+from . import fingerprints, html_text, mixing, pieces, pii, quality_rules, secrets, sharding, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_mixing": mixing.op8_mixing,
+    "op9_html_text": html_text.op9_html_text,
+    "op10_pieces": pieces.op10_pieces,
 }
 
 ORACLES: dict[str, str] = {

@@ -154,13 +154,15 @@ class CharNet:
         return self
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> CharNet:
-        """Platt's scaling, then the highest threshold with the wanted recall."""
+        """Platt's scaling with his smoothed targets, then the highest threshold with the wanted recall."""
         z, a, b = self.logits(x), 1.0, 0.0
+        ones = y.sum()
+        soft = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
         for _ in range(200):
             p = 1 / (1 + np.exp(-(a * z + b)))
             w = p * (1 - p) + 1e-9
             hess = np.array([[w @ (z * z) + 1e-3, w @ z], [w @ z, w.sum() + 1e-3]])
-            step = np.linalg.solve(hess, np.array([(p - y) @ z + 1e-3 * (a - 1), (p - y).sum()]))
+            step = np.linalg.solve(hess, np.array([(p - soft) @ z + 1e-3 * (a - 1), (p - soft).sum()]))
             a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
         self.scale, self.shift = a, b
         hits = np.sort(self.scores(x)[y == 1])
