@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, html_text, mixing, pieces, pii, quality_rules, secrets, sharding, url_filters
+from . import fingerprints, html_text, jaccard_join, mixing, pieces, pii, quality_rules, secrets, sharding, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
+    "op2_jaccard_join": jaccard_join.op2_jaccard_join,
     "op3_sharding": sharding.op3_sharding,
     "op4_url_filters": url_filters.op4_url_filters,
     "op5_secrets": secrets.op5_secrets,
