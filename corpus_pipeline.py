@@ -1,10 +1,13 @@
-"""The corpus pipeline: quality rules, near duplicates, personal data, mixing, pieces."""
+"""The corpus pipeline: quality rules, near duplicates, personal data, mixing, pieces.
+
+Every stage works on all rows its predecessor kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweft.llm import quality_rules
+from graphweft.llm import jaccard_join, mixing, pieces, pii, quality_rules
 from graphweft.llm.common import table, written
 
 
@@ -13,16 +16,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    return jaccard_join.without_near_duplicates(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Identifiers, plain and disguised, are masked in the text."""
+    return pii.masked(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document appears as often as the mix takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's piece ids: doc_id, lang, source, n_tokens, ids."""
+    return pieces.tokenised(docs, keep=["doc_id", "lang", "source"]).drop("round_trip")
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix), ("encode", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Mixing and piece ids have no SQL form.
+#: The similarity join, masking, mixing and piece ids have no SQL form; tests hold run() against a plain version.
 ORACLE_SQL = None

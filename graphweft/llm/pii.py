@@ -22,6 +22,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import col, fresh, table
 from .spans import Span, digest, joined, scan_texts
@@ -256,7 +257,7 @@ def masked(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
     names = docs.columns
     new, = fresh(docs, "masked")
     at = names.index(text_col)
-    schema = docs.schema.add(new, "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField(new, T.StringType())])
 
     def run(batches):
         find_in = finder()
