@@ -49,6 +49,7 @@ FREQUENT, MAX_FREQUENT, SUMMARY = 64, 200_000, 100_000
 SMALL_RUN, BLOCK = 3, 512
 DOCS_PER_BUCKET, DOCS_PER_FLUSH, BITMAP_BITS = 2000, 2048, 24
 _U = np.uint64
+_SALTS = [_U(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in range(1, 9)]
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -289,9 +290,11 @@ def _runs(blobs: pa.Table) -> pa.Table:
         i = 0
         while i < k:
             j = int(np.searchsorted(s, s[i] + near, "right"))
-            a.append(np.full(j - i - 1, c[i]))
-            b.append(c[i + 1:j])
-            r.append(np.zeros(j - i - 1, np.int64))
+            # Centres by the least of several hashes: runs with common members choose common centres.
+            for centre in {i, *(i + int(mix(c[i:j].view(_U) ^ salt).argmin()) for salt in _SALTS)}:
+                a.append(np.full(j - i, c[centre]))
+                b.append(c[i:j])
+                r.append(np.zeros(j - i, np.int64))
             i = j
         a.append(c)
         b.append(s)
@@ -361,17 +364,17 @@ def _across(members: DataFrame) -> DataFrame:
     rows = rows.withColumn("other", F.explode(others)).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
 
     def meet(group: pa.Table) -> pa.Table:
-        d = group.to_pydict()
+        d = group.sort_by("n").to_pydict()
+        n, comp, block = np.array(d["n"]), np.array(d["comp"]), np.array(d["block"])
+        cross, last = d["x"][0] != d["y"][0], np.searchsorted(n, 100 * n // 75, "right")
         a, b = [], []
-        items = sorted(zip(d["n"], d["rep"], d["comp"], d["par"], d["block"], strict=True))
-        cross = d["x"][0] != d["y"][0]
-        for i, (n, rep, comp, par, block) in enumerate(items):
-            for n2, rep2, comp2, par2, block2 in items[i + 1:]:
-                if 75 * n2 > 100 * n:
-                    break
-                if comp != comp2 and (not cross or block != block2) and _differences(par, par2) <= (n + n2) // 7:
-                    a.append(min(rep, rep2))
-                    b.append(max(rep, rep2))
+        for i in range(len(n)):
+            here = slice(i + 1, last[i])
+            ok = (comp[here] != comp[i]) & (block[here] != block[i] if cross else True)
+            for j in (np.flatnonzero(ok) + i + 1).tolist():
+                if _differences(d["par"][i], d["par"][j]) <= int(n[i] + n[j]) // 7:
+                    a.append(min(d["rep"][i], d["rep"][j]))
+                    b.append(max(d["rep"][i], d["rep"][j]))
         return pa.table({"rep_a": pa.array(a, pa.int64()), "rep_b": pa.array(b, pa.int64())})
 
     return rows.select("run", "x", "y", "block", "rep", "n", "par", "comp").groupBy("run", "x", "y").applyInArrow(meet, "rep_a bigint, rep_b bigint").distinct()
