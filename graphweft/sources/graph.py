@@ -144,7 +144,7 @@ class Graph:
         plain = F.regexp_replace(lexical, r"\\\\", mark)
         for a, b in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r")):
             plain = F.regexp_replace(plain, a, b)
-        plain = F.regexp_replace(plain, mark, r"\\\\")
+        plain = F.regexp_replace(plain, mark, r"\\")
         lang = F.nullif(F.lower(F.regexp_extract(ro, r'"@([A-Za-z0-9-]+)$', 1)), F.lit(""))
         dt = F.nullif(F.regexp_extract(ro, r'"\^\^<([^>]*)>$', 1), F.lit(""))
         is_literal = kind(ro) == "literal"
