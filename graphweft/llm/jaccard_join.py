@@ -59,8 +59,8 @@ def _text_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterato
 
 
 def _parities(hashes: np.ndarray, offs: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Per set: parity of the number of hashes at each of B positions, B the power of two at or above the size, 64 at least."""
-    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    """Per set: parity of the number of hashes at each of B positions, B the power of two at or above four times the size, 64 at least."""
+    bits = 1 << np.maximum(6, 2 + np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(bits)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     at = base[owner] + (hashes & (bits[owner] - 1).astype(_U)).astype(np.int64)
@@ -354,6 +354,30 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.mapInArrow(check, "rep_a bigint, rep_b bigint").distinct()
 
 
+def _spanning(links: DataFrame) -> DataFrame:
+    """Links with the same components, fewer where stars overlap: each task keeps a forest of its share, by one end and by the other."""
+    def forest(batches):
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up] = parent.setdefault(up, up)
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            ok = []
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = find(a), find(b)
+                ok.append(x != y)
+                parent[max(x, y)] = min(x, y)
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    for end in ("rep_b", "rep_a"):
+        links = links.select("rep_a", "rep_b").repartition(end).mapInArrow(forest, "rep_a bigint, rep_b bigint")
+    return links
+
+
 def _across(members: DataFrame) -> DataFrame:
     """Members (run, rep, n, par, comp) of runs with several components: pairs of members of different components that
     the filter passes. Runs are cut into blocks of about BLOCK members, and every two blocks meet in a group of their own."""
