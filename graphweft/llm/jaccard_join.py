@@ -428,13 +428,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     clashes = keyed.join(twins.select("key"), "key").select(F.col("key").alias("run"), "rep", "n", "par", F.col("rep").alias("comp"))
     pairs = written(_filtered(pairs).unionByName(_across(clashes)).distinct())
     links = written(_verified(slim, pairs))
-    comp = connected_components(links, "rep_a", "rep_b")
+    comp = connected_components(_spanning(links), "rep_a", "rep_b")
     members = runs.where("run <> 0").select("run", F.col("a").alias("key")).join(keyed, "key").join(comp, F.col("rep") == F.col("node"), "left")
     members = members.select("run", "rep", "n", "par", F.coalesce("component", "rep").alias("comp"))
     rest = written(_across(members).join(pairs, ["rep_a", "rep_b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionByName(_verified(slim, rest))
-        comp = connected_components(links, "rep_a", "rep_b")
+        comp = connected_components(_spanning(links), "rep_a", "rep_b")
     found = classes.join(comp, F.col("rep") == F.col("node"), "left").select("cid", "cid2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = filled.select("doc_id", "n", "cid", "cid2").join(found, ["cid", "cid2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
