@@ -1,8 +1,8 @@
 """Main text of web pages by tag-path ratios.
 
 A page is read once into blocks (runs of text between block-level tags), each with its root-to-leaf tag path. Per path,
-text length and punctuation are averaged over its blocks and fused with their spread; scores are smoothed over similar
-paths with a Gaussian of the path edit distance; paths at or above a threshold (a share of the weighted mean) are
+text length and punctuation are averaged over its blocks and fused with their spread; scores are smoothed over nearby
+paths with a Gaussian of the distance in the tree of paths; paths at or above a threshold (a share of the weighted mean) are
 content paths. The container of the content is found by walking down from the root while one child keeps most of the
 content paths' text. All blocks in the container are taken in page order, short ones too, but what lies in boilerplate
 elements: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
@@ -165,16 +165,6 @@ class Page:
         self._flush()
 
 
-def _path_distance(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
 def path_scores(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...]]]) -> dict[tuple[str, ...], float]:
     """Fused and smoothed ratio of each tag path: mean length, mean punctuation, and their spread over its blocks."""
     lengths, marks = defaultdict(list), defaultdict(list)
@@ -187,10 +177,20 @@ def path_scores(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...]]]) -> d
         mean, dots = sum(ls) / n, sum(ps) / n
         spread = math.sqrt(sum((x - mean) ** 2 for x in ls) / n)
         raw[path] = mean * (1 + dots) * (1 + math.log1p(spread)) * math.log1p(n)
+    # Smoothing: a Gaussian of the distance in the tree of paths, up to 2: parent and children 1, siblings 2. Sums per parent keep it linear.
+    near, far = math.exp(-1 / 2), math.exp(-2)
+    children: dict[tuple[str, ...], tuple[float, int]] = defaultdict(lambda: (0.0, 0))
+    for path, x in raw.items():
+        if path:
+            s, n = children[path[:-1]]
+            children[path[:-1]] = s + x, n + 1
     out = {}
-    for path in raw:
-        weights = {q: math.exp(-((_path_distance(path, q)) ** 2) / 2) for q in raw}
-        out[path] = sum(w * raw[q] for q, w in weights.items()) / sum(weights.values())
+    for path, x in raw.items():
+        total, weight = x * (1 - far if path else 1), 1 - far if path else 1
+        parent = path[:-1] if path else None
+        for (s, n), w in ((children.get(parent, (0.0, 0)), far), ((raw[parent], 1) if parent in raw else (0.0, 0), near), (children.get(path, (0.0, 0)), near)):
+            total, weight = total + w * s, weight + w * n
+        out[path] = total / weight
     return out
 
 
