@@ -49,7 +49,7 @@ FREQUENT, MAX_FREQUENT, SUMMARY = 64, 200_000, 100_000
 SMALL_RUN, BLOCK = 3, 512
 DOCS_PER_BUCKET, DOCS_PER_FLUSH, BITMAP_BITS = 2000, 2048, 24
 _U = np.uint64
-_SALTS = [_U(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in range(1, 9)]
+_SALTS = [_U(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in range(1, 3)]
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -378,14 +378,15 @@ def _spanning(links: DataFrame) -> DataFrame:
     return links
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Members (run, rep, n, par, comp) of runs with several components: pairs of members of different components that
+def _across(members: DataFrame, parities: DataFrame) -> DataFrame:
+    """Members (run, rep, n, comp) of runs with several components: pairs of members of different components that
     the filter passes. Runs are cut into blocks of about BLOCK members, and every two blocks meet in a group of their own."""
     mixed = members.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
     rows = members.join(mixed.select("run", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "run")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.withColumn("other", F.explode(others)).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
+    # Parities join only what is left: members of runs with several components.
+    rows = rows.join(parities, "rep").withColumn("other", F.explode(others)).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
 
     def meet(group: pa.Table) -> pa.Table:
         d = group.sort_by("n").to_pydict()
@@ -417,7 +418,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # The representative's row brings the parities; repeated rows of it are equal.
     keyed = filled.join(classes.where("rep is not null"), ["cid", "cid2", "n"]).where("doc_id = rep").select(
         F.shiftrightunsigned("cid", 24).alias("key"), "rep", "n", "par")
-    keyed = written(keyed)
+    keyed = written(keyed.dropDuplicates(["key", "rep", "n"]))
+    parities = keyed.select("rep", "par")
     buckets = max(16, sets.count() // DOCS_PER_BUCKET)
     runs = _signatures(slim, frequent, buckets).groupBy("bucket").applyInArrow(_runs, "a bigint, b bigint, run bigint").distinct()
     runs = written(runs)
@@ -425,13 +427,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = runs.where("run = 0").select("a", "b").join(side("a"), "a").join(side("b"), "b")
     # Classes that share a truncated id meet too.
     twins = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
-    clashes = keyed.join(twins.select("key"), "key").select(F.col("key").alias("run"), "rep", "n", "par", F.col("rep").alias("comp"))
-    pairs = written(_filtered(pairs).unionByName(_across(clashes)).distinct())
+    clashes = keyed.join(twins.select("key"), "key").select(F.col("key").alias("run"), "rep", "n", F.col("rep").alias("comp"))
+    pairs = written(_filtered(pairs).unionByName(_across(clashes, parities)).distinct())
     links = written(_verified(slim, pairs))
     comp = connected_components(_spanning(links), "rep_a", "rep_b")
-    members = runs.where("run <> 0").select("run", F.col("a").alias("key")).join(keyed, "key").join(comp, F.col("rep") == F.col("node"), "left")
-    members = members.select("run", "rep", "n", "par", F.coalesce("component", "rep").alias("comp"))
-    rest = written(_across(members).join(pairs, ["rep_a", "rep_b"], "left_anti"))
+    members = runs.where("run <> 0").select("run", F.col("a").alias("key")).join(keyed.select("key", "rep", "n"), "key").join(comp, F.col("rep") == F.col("node"), "left")
+    members = members.select("run", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    rest = written(_across(members, parities).join(pairs, ["rep_a", "rep_b"], "left_anti"))
     if not rest.isEmpty():
         links = links.unionByName(_verified(slim, rest))
         comp = connected_components(_spanning(links), "rep_a", "rep_b")
