@@ -38,17 +38,19 @@ def fingerprint(text: Column) -> Column:
 
 
 def _summed(hashes: Column) -> Column:
-    parts = []
-    for lanes, one_in in LEVELS:
-        if one_in == 1:
-            parts.append(_lanes(hashes, lanes, 0))
-        else:
-            picked = F.filter(hashes, lambda h, m=one_in - 1: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(m)) == 0)
-            bound = F.transform(F.array(picked), lambda hs, k=lanes: F.when(F.size(hs) == 0, F.array_repeat(F.lit(0), k)).otherwise(_lanes(hs, k, 14)))
-            parts.append(F.element_at(bound, 1))
+    parts = [_lanes(hashes, LEVELS[0][0], 0)]
+    for lanes, one_in in LEVELS[1:]:
+        parts.append(_sampled(hashes, lanes, one_in))
     return F.struct(F.size(hashes).alias("n"), F.concat(*parts).alias("lanes"))
 
 
+def _sampled(hashes: Column, lanes: int, one_in: int) -> Column:
+    """The lanes of one paragraph in so many, picked by its hash."""
+    picked = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(one_in - 1)) == 0)
+    summed = F.transform(F.array(picked), lambda hs: F.when(F.size(hs) == 0, F.array_repeat(F.lit(0), lanes)).otherwise(_lanes(hs, lanes, 14)))
+    return F.element_at(summed, 1)
+
+
 def _lanes(hashes: Column, lanes: int, shift: int) -> Column:
     def lane(i: Column) -> Column:
         return F.aggregate(hashes, F.lit(0), lambda acc, h: F.when(
