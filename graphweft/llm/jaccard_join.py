@@ -48,6 +48,8 @@ FREQUENT, MAX_FREQUENT, SUMMARY = 64, 200_000, 100_000
 #: Runs up to SMALL_RUN members yield all their pairs; larger ones are stars. Block side of the second search.
 SMALL_RUN, BLOCK = 3, 512
 DOCS_PER_BUCKET, DOCS_PER_FLUSH, BITMAP_BITS = 2000, 2048, 24
+#: Class ids a task remembers as signed, and nodes its link forest holds, before it starts afresh.
+MAX_SIGNED, MAX_FOREST = 1 << 18, 1 << 20
 _U = np.uint64
 _SALTS = [_U(0x9E3779B97F4A7C15 * k % (1 << 64)) for k in range(1, 3)]
 
@@ -225,13 +227,23 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([recs[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())], schema=schema)
 
     def run(batches):
-        signer, parts, nums, rows = Signer(frequent), [], [], 0
+        signer, parts, nums, rows, signed = Signer(frequent), [], [], 0, set()
         for part in _text_batches(batches):
             hashes, offs = shingle_sets(part.column(0))
-            sig, owner = signer.sign(hashes, offs)
-            sizes = np.diff(offs)
             sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(hashes), dtype=_U)])
             cid = mix(sums[offs[1:]] - sums[offs[:-1]])
+            # A task signs copies once: their records would be equal, and all go to the same buckets.
+            if len(signed) > MAX_SIGNED:
+                signed.clear()
+            new = np.zeros(len(cid), bool)
+            for i, c in enumerate(cid.tolist()):
+                if c not in signed:
+                    signed.add(c)
+                    new[i] = True
+            sizes = np.diff(offs)
+            hashes, cid, sizes = hashes[np.repeat(new, sizes)], cid[new], sizes[new]
+            offs = np.concatenate([[0], np.cumsum(sizes)])
+            sig, owner = signer.sign(hashes, offs)
             rec = np.empty((len(sig), 11), np.uint8)
             rec[:, :5] = sig.view(np.uint8).reshape(-1, 8)[:, :5]
             rec[:, 5:10] = cid.view(np.uint8).reshape(-1, 8)[owner, 3:]
@@ -355,7 +367,10 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _spanning(links: DataFrame) -> DataFrame:
-    """Links with the same components, fewer where stars overlap: each task keeps a forest of its share, by one end and by the other."""
+    """Links with the same components, fewer where stars overlap: each task keeps a forest of its share, by one end and by the other.
+
+    Any share will do, so large shares are split (rebalanced) and a forest that has grown to MAX_FOREST nodes is begun afresh.
+    """
     def forest(batches):
         parent: dict[int, int] = {}
 
@@ -367,6 +382,8 @@ def _spanning(links: DataFrame) -> DataFrame:
 
         for batch in batches:
             ok = []
+            if len(parent) > MAX_FOREST:
+                parent.clear()
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x, y = find(a), find(b)
                 ok.append(x != y)
@@ -374,7 +391,7 @@ def _spanning(links: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(ok, pa.bool_()))
 
     for end in ("rep_b", "rep_a"):
-        links = links.select("rep_a", "rep_b").repartition(end).mapInArrow(forest, "rep_a bigint, rep_b bigint")
+        links = links.select("rep_a", "rep_b").hint("rebalance", F.col(end)).mapInArrow(forest, "rep_a bigint, rep_b bigint")
     return links
 
 
