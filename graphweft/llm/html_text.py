@@ -3,9 +3,9 @@
 A page is read once into blocks (runs of text between block-level tags), each with its root-to-leaf tag path. Per path,
 text length and punctuation are averaged over its blocks and fused with their spread; scores are smoothed over nearby
 paths with a Gaussian of the distance in the tree of paths; paths at or above a threshold (a share of the weighted mean) are
-content paths. The container of the content is found by walking down from the root while one child keeps most of the
-content paths' text. All blocks in the container are taken in page order, short ones too, but what lies in boilerplate
-elements: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
+content paths. The container of the content is found by walking down from the root while one child keeps all of the
+content: the blocks of content paths, and first headings and paragraphs of any path. So content split over several containers
+stays whole. All blocks in the container are taken in page order, short ones too, but what lies in boilerplate elements: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
 tag, role or the words of class and id.
 
 Pages are read in one pass over their tags; nothing is capped, and unclosed or stray tags are tolerated the way
@@ -194,7 +194,7 @@ def path_scores(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...]]]) -> d
     return out
 
 
-def main_blocks(page: Page, share: float = 0.3, keep: float = 0.6) -> list[str]:
+def main_blocks(page: Page, share: float = 0.3) -> list[str]:
     """Texts of the blocks in the content container, in page order."""
     if not page.blocks:
         return []
@@ -202,19 +202,20 @@ def main_blocks(page: Page, share: float = 0.3, keep: float = 0.6) -> list[str]:
     size = {p: sum(len(t) for t, q, _ in page.blocks if q == p) for p in scores}
     mean = sum(scores[p] * size[p] for p in scores) / sum(size.values())
     content = {p for p, s in scores.items() if s >= share * mean} or set(scores)
-    mass: dict[int, float] = defaultdict(float)
+    mass: dict[int, int] = defaultdict(int)
     children: dict[int, set[int]] = defaultdict(set)
     for text, path, chain in page.blocks:
-        w = len(text) * (path in content)
+        w = len(text) * (path in content or path[-1:] in (("h1",), ("p",)))
+        mass[-1] += w
         for parent, node in zip((-1, *chain), chain):
             children[parent].add(node)
             mass[node] += w
-    node, total = -1, sum(mass[c] for c in children[-1]) + sum(len(t) for t, p, c in page.blocks if not c and p in content)
-    while total:
+    node = -1
+    while mass[node]:
         best = max((c for c in sorted(children[node]) if page.tags[c] in CONTAINERS), key=lambda c: mass[c], default=None)
-        if best is None or mass[best] < keep * total:
+        if best is None or mass[best] < mass[node]:
             break
-        node, total = best, mass[best]
+        node = best
         if page.tags[node] in ("article", "main") and not any(page.tags[c] == "article" for c in children[node]):
             break
     return [t for t, _, chain in page.blocks if node < 0 or node in chain]

@@ -135,6 +135,20 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("before, first, between, second, after", [
+    ("<body><div id=content><div class=part1>", "<p>{}</p>" * 4, "</div><div class=part2>", "<p>{}</p>" * 2, "</div></div>"),
+    ("<body><main><article>", "<p>{}</p>" * 7, "</article><article>", "<p>{}</p>" * 3, "</article></main>"),
+    ("<body><article>", "<p>{}</p>" * 7, "</article><article>", "<p>{}</p>" * 3, "</article>"),
+    ("<body><div><p>An intro.</p><table>", "<tr><td>{}</td><td>{}</td></tr>" * 20, "</table><div><div>", "<p>{}</p>", "</div></div></div>"),
+    ("<body><h1>Title</h1><div>", "<section>{}</section>" * 9, "</div><div><div>", "<section>{}</section>", "</div></div>")])
+def test_main_text_split_over_containers(before, first, between, second, after):
+    page = before + first + between + second + after
+    count = iter(range(page.count("{}")))
+    page = "<nav>menu</nav>" + re.sub(r"\{\}", lambda _: f"Sentence {next(count)} of the text, which is long enough. And one more.", page) + "<footer>foot</footer>"
+    want = " ".join(" ".join(re.sub("<nav>.*</nav>|<footer>.*</footer>|<[^>]*>", " ", page).split()).split())
+    assert html_text.main_text(page) == want
+
+
 def test_main_text_of_hard_pages(spark):
     assert html_text.main_text("<div>" * 3000 + "x") == "x"
     assert html_text.main_text("<!-- " * 20000) == ""
