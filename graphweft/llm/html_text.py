@@ -5,8 +5,10 @@ text length and punctuation are averaged over its blocks and fused with their sp
 paths with a Gaussian of the distance in the tree of paths; paths at or above a threshold (a share of the weighted mean) are
 content paths. The container of the content is found by walking down from the root while one child keeps all of the
 content: the blocks of content paths, and first headings and paragraphs of any path. So content split over several containers
-stays whole. All blocks in the container are taken in page order, short ones too, but what lies in boilerplate elements: menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by
-tag, role or the words of class and id.
+stays whole. All blocks in the container are taken in page order, short ones too, but what lies in boilerplate menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by tag, role or
+class and id. A class or id token is boilerplate if its last word is, words of structure at its end aside (``site-nav-wrapper``),
+and no word denies it or tells a state or layout (``no-sidebar``, ``nav-open``, ``layout-sidebar``). An element so named stays
+nevertheless if it holds most of the page's content and either an h1 or main element, or all there is.
 
 Pages are read in one pass over their tags; nothing is capped, and unclosed or stray tags are tolerated the way
 browsers do (a paragraph ends where the next block begins; an end tag closes to its nearest open one, or nothing).
@@ -41,24 +43,48 @@ DROPPED_WORDS = frozenset(("ad ads advert adverts advertisement advertising adbo
                            " consent cookie cookies disclaimer discussion disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification"
                            " paywall popup promo promoted promotion reactions recommended related replies reply respond share sharing shares sidebar sidebars sitemap social"
                            " sponsor sponsored subscribe subscription teaser toolbar topbar tracking widget widgets").split())
+STRUCTURE = frozenset(("area areas bar block blocks body bottom box btn button buttons center col column container content desktop entries footer form frame grid group head header"
+                       " holder icon icons image images info inner item items label left leaderboard link links list lists main media message mobile module next outer overlay panel"
+                       " placeholder posts prev previous primary recent rectangle region right row secondary section signup skyscraper slot sticky text this thread title"
+                       " toggle tools top trail unit wrap wrapper zone").split())
+DENIED_WORDS = frozenset(("active align closed disable disabled enable enabled free grid has have hidden hide hides layout loaded no non not off on open opened ready show shows skin"
+                          " template theme visible with without").split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile("[.,;:!?…¿¡。，、؟]")
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _QUOTED_TAG = re.compile(r"""<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
-_ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+KEPT, NAMED, DROPPED = 0, 1, 2  # an element's own part; NAMED: boilerplate by a word of class or id
 
-def _dropped(tag: str, attrs: str, inside_article: bool) -> bool:
+
+def boilerplate_name(token: str) -> bool:
+    """Whether a class or id token names boilerplate."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    if not DROPPED_WORDS.intersection(words) or DENIED_WORDS.intersection(words):
+        return False
+    while words and words[-1] not in DROPPED_WORDS and (words[-1] in STRUCTURE or len(words[-1]) == 1):
+        words.pop()
+    return bool(words) and words[-1] in DROPPED_WORDS
+
+
+def _part(tag: str, attrs: str, inside_article: bool) -> int:
     if tag in DROPPED_TAGS or (tag == "header" and not inside_article):
-        return True
-    for name, value in _ATTR.findall(attrs) if "=" in attrs or "hidden" in attrs else ():
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "role" and value.lower() in DROPPED_ROLES):
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w.lower() in DROPPED_WORDS for w in _WORD.findall(value)):
-            return True
-    return False
+        return DROPPED
+    if not attrs or attrs.isspace():
+        return KEPT
+    values: dict[str, str] = {}
+    for name, value in _ATTR.findall(attrs):
+        values.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[0] else value)
+    if "hidden" in values or DROPPED_ROLES.intersection(values.get("role", "").lower().split()):
+        return DROPPED
+    if tag not in ("html", "body", "article", "main"):
+        names = values.get("class", "").split() + ([] if tag in HEADINGS else values.get("id", "").split())
+        if any(map(boilerplate_name, names)):
+            return NAMED
+    return KEPT
 
 
 class Page:
@@ -67,13 +93,18 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, tuple[str, ...], tuple[int, ...]]] = []
         self.tags: list[str] = []  # tag of each element number
-        self._stack: list[tuple[str, int, bool]] = []  # tag, number, dropped
+        self._stack: list[tuple[str, int, int]] = []  # tag, number, part
+        self._named: list[tuple[int, ...]] = []  # of each block, the open elements named as boilerplate
+        self._heads: set[int] = set()  # elements around an h1 or main element
         self._buffer: list[str] = []
         self._read(source)
+        if any(self._named):
+            self._drop_named()
 
     def _flush(self) -> None:
         text = " ".join(entities.unescape("".join(self._buffer)).split())
-        if text and not any(d for _, _, d in self._stack):
+        if text and not any(d == DROPPED for _, _, d in self._stack):
+            self._named.append(tuple(n for _, n, d in self._stack if d == NAMED))
             self.blocks.append((text, tuple(t for t, _, _ in self._stack if t in BLOCK), tuple(n for t, n, _ in self._stack if t in BLOCK)))
         self._buffer = []
 
@@ -94,9 +125,27 @@ class Page:
             self._flush()
         if tag not in VOID:
             inside = any(t in ("article", "main") for t, _, _ in self._stack)
-            self._stack.append((tag, len(self.tags), _dropped(tag, attrs, inside)))
+            if tag in ("h1", "main"):
+                self._heads.update(n for _, n, _ in self._stack)
+            self._stack.append((tag, len(self.tags), _part(tag, attrs, inside)))
             self.tags.append(tag)
 
+    def _drop_named(self) -> None:
+        """Blocks in elements named as boilerplate go, but for elements that hold the page's content."""
+        content = content_paths(self.blocks)
+        mass: dict[int, int] = defaultdict(int)
+        total = 0
+        for (text, path, _), named in zip(self.blocks, self._named):
+            w = len(text) * _is_content(path, content)
+            total += w
+            for n in named:
+                mass[n] += w
+        kept: set[int] = set()
+        for n in sorted(n for n, w in mass.items() if 2 * w > total):  # outer ones first
+            if n in self._heads or not any(_is_content(path, content) and kept.issuperset(named) for (_, path, _), named in zip(self.blocks, self._named) if n not in named):
+                kept.add(n)
+        self.blocks = [b for b, named in zip(self.blocks, self._named) if kept.issuperset(named)]
+
     def _close_implied(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] in tags:
@@ -194,18 +243,29 @@ def path_scores(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...]]]) -> d
     return out
 
 
+def _is_content(path: tuple[str, ...], content: set[tuple[str, ...]]) -> bool:
+    return path in content or path[-1:] in (("h1",), ("p",))
+
+
+def content_paths(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...]]], share: float = 0.3) -> set[tuple[str, ...]]:
+    """Paths whose score is at least a share of the mean over the text; all, if none is."""
+    scores = path_scores(blocks)
+    size: dict[tuple[str, ...], int] = defaultdict(int)
+    for text, path, _ in blocks:
+        size[path] += len(text)
+    mean = sum(scores[p] * size[p] for p in scores) / sum(size.values())
+    return {p for p, s in scores.items() if s >= share * mean} or set(scores)
+
+
 def main_blocks(page: Page, share: float = 0.3) -> list[str]:
     """Texts of the blocks in the content container, in page order."""
     if not page.blocks:
         return []
-    scores = path_scores(page.blocks)
-    size = {p: sum(len(t) for t, q, _ in page.blocks if q == p) for p in scores}
-    mean = sum(scores[p] * size[p] for p in scores) / sum(size.values())
-    content = {p for p, s in scores.items() if s >= share * mean} or set(scores)
+    content = content_paths(page.blocks, share)
     mass: dict[int, int] = defaultdict(int)
     children: dict[int, set[int]] = defaultdict(set)
     for text, path, chain in page.blocks:
-        w = len(text) * (path in content or path[-1:] in (("h1",), ("p",)))
+        w = len(text) * _is_content(path, content)
         mass[-1] += w
         for parent, node in zip((-1, *chain), chain):
             children[parent].add(node)

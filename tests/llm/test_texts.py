@@ -149,6 +149,27 @@ def test_main_text_split_over_containers(before, first, between, second, after):
     assert html_text.main_text(page) == want
 
 
+PROSE = "<h1>Head</h1><p>A sentence, quite long. And more of it.</p>"
+
+
+@pytest.mark.parametrize("attrs", [
+    "style='overflow:hidden'", "aria-hidden=false", "title='the hidden door'", "data-id='share-1'", "data-class=ad", "x-role=banner", "title='a class=ad here'", "class=no-sidebar", "class='layout has-sidebar'",
+    "id=ad-free", "class=content-with-share", "class=nav-open", "id=related-work", "class='layout-sidebar-right'", "class=page-widget", "class=sidebar"])
+def test_wrappers_that_only_sound_like_boilerplate(attrs):
+    assert html_text.main_text(f"<body><div {attrs}>{PROSE}<div class=comments><p>Nice.</p></div></div>") == "Head A sentence, quite long. And more of it."
+
+
+@pytest.mark.parametrize("attrs", [
+    "hidden", "HIDDEN=''", "class = 'x ad'", "CLASS=Ad", "id=top-nav", "class=siteNavWrapper", "role='none banner'", "class=cookie-consent-popup", "class=ad-slot-1", "class=related-posts", "data-x='>' class=share", "id='comments'"])
+def test_boilerplate_by_attributes(attrs):
+    long = "<p>Another sentence, quite long. And more of it.</p>" * 20
+    assert html_text.main_text(f"<body><div>{PROSE}<div {attrs}>{long}</div></div>") == "Head A sentence, quite long. And more of it."
+
+
+def test_heading_with_a_slug_stays():
+    assert html_text.main_text("<article><h2 id=comments>Comments</h2><p>Text, long.</p></article>") == "Comments Text, long."
+
+
 def test_main_text_of_hard_pages(spark):
     assert html_text.main_text("<div>" * 3000 + "x") == "x"
     assert html_text.main_text("<!-- " * 20000) == ""
