@@ -1,7 +1,9 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 Every paragraph (a ``\\n``-separated piece) is hashed into a wide, sparse vector, and the fingerprint is the sum of
-these vectors, lane by lane, modulo 2^16, beside the number of paragraphs. So equal texts have equal fingerprints,
+these vectors, lane by lane, modulo 2^16, beside the number of paragraphs and four sums modulo 2^62 that every paragraph
+adds to, each of its own hash. Texts whose paragraphs differ are equal in all sums with chance about 2^-248, if the hashes
+are independent; no two such texts are expected among 2^100. xxhash64 isn't built against an adversary. So equal texts have equal fingerprints,
 the order of paragraphs doesn't matter, and inserting or deleting a paragraph adds or subtracts its vector
 (:func:`combine`) without reading the rest of the document.
 
@@ -26,22 +28,27 @@ from pyspark.sql import functions as F
 from .common import col, table
 
 LEVELS = ((64, 1), (32, 16), (32, 256))  # lanes, and one paragraph in so many
+SUMS, SUM_BITS = 4, (1 << 62) - 1  # two summands stay below 2^63
 LANES = sum(n for n, _ in LEVELS)
 QUANTILES = 64
 RANGE_ROWS = 500
 
 
 def fingerprint(text: Column) -> Column:
-    """Struct of ``n`` (paragraphs) and ``lanes`` (array<int>, each below 2^16)."""
-    hashes = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.xxhash64(p))
-    return F.element_at(F.transform(F.array(hashes), _summed), 1)
+    """Struct of ``n`` (paragraphs), ``lanes`` (array<int>, each below 2^16) and ``sums`` (array<bigint>, each below 2^62)."""
+    pieces = F.array(F.split(F.coalesce(text, F.lit("")), "\n"))
+    return F.element_at(F.transform(pieces, lambda ps: F.element_at(F.transform(F.array(F.transform(ps, lambda p: F.xxhash64(p))), lambda hs: _summed(hs, ps)), 1)), 1)
 
 
-def _summed(hashes: Column) -> Column:
+def _sum(pieces: Column, k: int) -> Column:
+    return F.aggregate(pieces, F.lit(0).cast("bigint"), lambda acc, p: (acc + F.xxhash64(F.lit(k), p).bitwiseAND(F.lit(SUM_BITS))).bitwiseAND(F.lit(SUM_BITS)))
+
+
+def _summed(hashes: Column, pieces: Column) -> Column:
     parts = [_lanes(hashes, LEVELS[0][0], 0)]
     for lanes, one_in in LEVELS[1:]:
         parts.append(_sampled(hashes, lanes, one_in))
-    return F.struct(F.size(hashes).alias("n"), F.concat(*parts).alias("lanes"))
+    return F.struct(F.size(hashes).alias("n"), F.concat(*parts).alias("lanes"), F.array(*[_sum(pieces, k) for k in range(SUMS)]).alias("sums"))
 
 
 def _sampled(hashes: Column, lanes: int, one_in: int) -> Column:
@@ -60,16 +67,18 @@ def _lanes(hashes: Column, lanes: int, shift: int) -> Column:
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint of a's paragraphs with b's inserted (sign 1) or deleted (sign -1)."""
-    return F.struct((a["n"] + sign * b["n"]).alias("n"), F.zip_with(a["lanes"], b["lanes"], lambda x, y: (x + sign * y).bitwiseAND(F.lit(65535))).alias("lanes"))
+    return F.struct((a["n"] + sign * b["n"]).alias("n"), F.zip_with(a["lanes"], b["lanes"], lambda x, y: (x + sign * y).bitwiseAND(F.lit(65535))).alias("lanes"),
+                    F.zip_with(a["sums"], b["sums"], lambda x, y: (x + sign * y).bitwiseAND(F.lit(SUM_BITS))).alias("sums"))
 
 
 def text_form(fp: Column) -> Column:
-    """Paragraphs in hexadecimal, a colon, four digits for each lane."""
-    return F.concat(F.hex(fp["n"]), F.lit(":"), F.array_join(F.transform(fp["lanes"], lambda x: F.lpad(F.hex(x), 4, "0")), ""))
+    """Paragraphs in hexadecimal, a colon, four digits for each lane, a colon, sixteen digits for each sum."""
+    return F.concat(F.hex(fp["n"]), *[part for name, digits in (("lanes", 4), ("sums", 16)) for part in (
+        F.lit(":"), F.array_join(F.transform(fp[name], lambda x: F.lpad(F.hex(x), digits, "0")), ""))])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated multiset Jaccard likeness of two fingerprints, 0 to 1; 1 for equal ones."""
+    """Estimated multiset Jaccard likeness of two fingerprints, 0 to 1; 1 for equal ones only."""
     pairs = F.zip_with(a["lanes"], b["lanes"], lambda x, y: F.when(x == y, 0).otherwise(1))
 
     def estimate(diff: Column) -> Column:
@@ -86,8 +95,9 @@ def likeness(a: Column, b: Column) -> Column:
 
     m = F.element_at(F.transform(F.array(pairs), estimate), 1)
     both = (a["n"] + b["n"]).cast("double")
-    m = F.greatest(m, F.abs(a["n"] - b["n"]).cast("double"))
-    return F.when((a["n"] == b["n"]) & (a["lanes"] == b["lanes"]), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (both - m) / (both + m))))
+    # Unlike texts with equally many paragraphs differ in two at least.
+    m = F.greatest(m, F.when(a["n"] == b["n"], 2.0).otherwise(F.abs(a["n"] - b["n"]).cast("double")))
+    return F.when((a["n"] == b["n"]) & (a["lanes"] == b["lanes"]) & (a["sums"] == b["sums"]), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (both - m) / (both + m))))
 
 
 def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,6 +100,14 @@ def test_fingerprints_are_homomorphic(spark):
     assert r.order and r.added and r.taken and r.near == pytest.approx(0.5, abs=0.1)
 
 
+def test_fingerprints_of_unlike_texts_differ(spark):
+    df = spark.range(30000).select(F.concat(F.lit("paragraph "), F.col("id")).alias("t"))
+    assert df.select(fingerprints.text_form(fingerprints.fingerprint(F.col("t"))).alias("fp")).distinct().count() == 30000
+    one = df.where("t in ('paragraph 1', 'paragraph 2')").agg(F.min("t").alias("a"), F.max("t").alias("b")).select(*[fingerprints.fingerprint(F.col(c)).alias(c) for c in "ab"])
+    same_lanes = one.select("a", F.struct(F.col("a.n").alias("n"), F.col("a.lanes").alias("lanes"), F.col("b.sums").alias("sums")).alias("b"))
+    assert same_lanes.select(fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).first().x < 1
+
+
 def test_likeness_follows_the_share_of_paragraphs(spark):
     lines = [f"paragraph number {i}" for i in range(4000)]
     df = spark.createDataFrame([("\n".join(lines[:n]), "\n".join(lines[n // 4:n + n // 4])) for n in (40, 400, 3000)], "a string, b string")
