@@ -7,9 +7,10 @@ are independent; no two such texts are expected among 2^100. xxhash64 isn't buil
 the order of paragraphs doesn't matter, and inserting or deleting a paragraph adds or subtracts its vector
 (:func:`combine`) without reading the rest of the document.
 
-Lanes: 64 that every paragraph falls into, 32 for a sixteenth of all paragraphs and 32 for a 256th. The number of
-lanes that differ estimates by linear counting how many paragraphs differ, at the finest level that isn't full;
-with the two paragraph counts that gives a Jaccard likeness of the multisets (:func:`likeness`).
+Lanes: 64 that every paragraph falls into, and 32 each for one paragraph in 16, 256, 1024, 4096, 16384 and 65536. The
+number of lanes that differ estimates by linear counting how many paragraphs differ, at the finest level that isn't full;
+with the two paragraph counts that gives a Jaccard likeness of the multisets (:func:`likeness`). The coarsest level is
+full beyond some seven million differing paragraphs; the likeness is 0 then.
 
 Only SQL functions run. For the following document, ids are cut into ranges by constant-size quantiles, each range is
 a window of its own, and the first text of the range below closes the gap between two windows.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import col, table
 
-LEVELS = ((64, 1), (32, 16), (32, 256))  # lanes, and one paragraph in so many
+LEVELS = ((64, 1), (32, 16), (32, 256), (32, 1024), (32, 4096), (32, 16384), (32, 65536))  # lanes, and one paragraph in so many
 SUMS, SUM_BITS = 4, (1 << 62) - 1  # two summands stay below 2^63
 LANES = sum(n for n, _ in LEVELS)
 QUANTILES = 64
@@ -52,9 +53,9 @@ def _summed(hashes: Column, pieces: Column) -> Column:
 
 
 def _sampled(hashes: Column, lanes: int, one_in: int) -> Column:
-    """The lanes of one paragraph in so many, picked by its hash."""
+    """The lanes of one paragraph in so many, picked by bits 6 to 21 of its hash; bits 22 on give the lane."""
     picked = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(one_in - 1)) == 0)
-    summed = F.transform(F.array(picked), lambda hs: F.when(F.size(hs) == 0, F.array_repeat(F.lit(0), lanes)).otherwise(_lanes(hs, lanes, 14)))
+    summed = F.transform(F.array(picked), lambda hs: F.when(F.size(hs) == 0, F.array_repeat(F.lit(0), lanes)).otherwise(_lanes(hs, lanes, 22)))
     return F.element_at(summed, 1)
 
 
@@ -89,12 +90,13 @@ def likeness(a: Column, b: Column) -> Column:
             at += lanes
         out = None
         for lanes, one_in, k in reversed(found):
-            here = F.log(1.0 - F.least(k, F.lit(lanes - 1)) / float(lanes)) * float(-lanes * one_in)
+            here = F.when(k < lanes, F.log(1.0 - F.least(k, F.lit(lanes - 1)) / float(lanes)) * float(-lanes * one_in))
             out = here if out is None else F.when(k <= lanes * 7 // 8, here).otherwise(out)
         return out
 
     m = F.element_at(F.transform(F.array(pairs), estimate), 1)
     both = (a["n"] + b["n"]).cast("double")
+    m = F.coalesce(m, both)  # null: the coarsest level is full
     # Unlike texts with equally many paragraphs differ in two at least.
     m = F.greatest(m, F.when(a["n"] == b["n"], 2.0).otherwise(F.abs(a["n"] - b["n"]).cast("double")))
     return F.when((a["n"] == b["n"]) & (a["lanes"] == b["lanes"]) & (a["sums"] == b["sums"]), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (both - m) / (both + m))))

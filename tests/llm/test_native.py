@@ -115,6 +115,18 @@ def test_likeness_follows_the_share_of_paragraphs(spark):
         assert r.x == pytest.approx(0.6, abs=0.25)
 
 
+def test_likeness_of_long_unlike_texts(spark):
+    sizes = [(n,) for n in (5000, 20000, 50000, 100000, 400000)]
+    numbers = F.sequence(F.lit(1), F.col("n"))
+    lines = [F.concat(F.lit(c), F.array_join(numbers, f"\n{c}")) for c in "ab"]
+    a, b = (fingerprints.fingerprint(x) for x in lines)
+    got = spark.createDataFrame(sizes, "n int").select("n", a.alias("a"), b.alias("b")).select("n", fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    assert len(got) == len(sizes) and all(r.x <= 0.3 for r in got), got
+    full = F.struct(F.lit(100_000_000).alias("n"), F.array_repeat(F.lit(1), fingerprints.LANES).alias("lanes"), F.array(F.lit(1)).cast("array<bigint>").alias("sums"))
+    none = F.struct(F.lit(100_000_000).alias("n"), F.array_repeat(F.lit(0), fingerprints.LANES).alias("lanes"), F.array(F.lit(0)).cast("array<bigint>").alias("sums"))
+    assert spark.range(1).select(full.alias("a"), none.alias("b")).select(fingerprints.likeness(F.col("a"), F.col("b")).alias("x")).first().x == 0
+
+
 def plain_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
