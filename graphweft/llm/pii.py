@@ -1,8 +1,8 @@
 """Personal data by offset-preserving deobfuscation.
 
 Plain identifiers are found in the text as it is. For disguised ones a chain of transducers rewrites the text into a
-normal form: look-alike characters and invisible ones, ``[at]`` / ``dot`` disguises, and digits spelled in words
-(English, German, French, Spanish). Each transducer emits edits (source start, source end, replacement); a segment map
+normal form: look-alike characters and invisible ones, ``[at]`` / ``dot`` disguises, each in brackets, bare or as a sign, and digits
+spelled in words (English, German, French, Spanish), alone or mixed with figures where a phone, card or ip results. Each transducer emits edits (source start, source end, replacement); a segment map
 composed of them takes any span of the normal form back to source characters. The detectors then run over the normal
 form, and spans that touch an edit are added to the plain ones; plain ones always stay.
 
@@ -60,8 +60,18 @@ _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?:(?:{_PLUS})[ ,-]{{1,3}})?(?:{_DIGIT})(?:[ ,-]{{1,3}}(?:{_DIGIT}|{_DOT}|[0-9]++))+")
 _TOKEN = re.compile(r"[^ ,-]+")
 _BRACKETED = re.compile(rf" ?[\[({{<] ?({_AT}|@|{_DOT}|\.) ?[\])}}>] ?", re.I)
-_BARE = re.compile(rf"(?<=[A-Za-z0-9]) (?:{_AT}) (?=([A-Za-z0-9-]+(?: (?:{_DOT}) [A-Za-z0-9-]+)+))", re.I)
+_NUMBER = rf"(?:(?:{_DIGIT})(?!\w)|[0-9]++(?!\w))"
+_MIXED = re.compile(rf"(?<!\w)(?:(?:{_PLUS})[ ,-]{{1,3}}|\+)?{_NUMBER}(?:[ ,().-]{{1,3}}(?:{_NUMBER}|(?:{_DOT})(?!\w)))+")
+_PART = re.compile(r"[^ ,().-]+|[ ,().-]+")
+_SIGN = re.compile(rf"@| (?:{_AT}|@) ", re.I)
+_DISGUISED_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.| (?:{_DOT}) )[A-Za-z0-9-]++)+", re.I)
 _BARE_DOT = re.compile(rf" (?:{_DOT}) ", re.I)
+_BARE_DOT_BEFORE = re.compile(rf" (?:{_DOT}) \Z", re.I)
+_DOT_WIDTH = max(map(len, DOT_WORDS)) + 2
+# Words before "at" and a plain host name that speak of a place rather than name a mailbox.
+_NOT_LOCAL = frozenset(("and are arrive arrived available be been both but buy check click directly find found from go had has have he her here him hosted i is it join just listed live"
+                        " look looked looking looks me meet mirrored more not now off on once online only or order out over page pages published read register see she shop sign site sites"
+                        " sold start started stay stayed stop stopped that them there these they this those up us visit was we website were work worked working works you").split())
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -178,6 +188,61 @@ def _has_digit_run(low: str) -> bool:
     return any(b - a <= 5 for a, b in zip(found, found[2:]))
 
 
+_BLANK = str.maketrans("-,().", "     ")
+_ANY_DIGIT = re.compile(r"[0-9]")
+
+
+def _has_number(low: str) -> bool:
+    """Whether a digit word stands beside another part of a number."""
+    words = low.translate(_BLANK).split()
+    if DIGIT_WORDS.keys().isdisjoint(words):
+        return False
+    return any(w in DIGIT_WORDS and any(x in DIGIT_WORDS or x in DOT_WORDS or x in PLUS_WORDS or x.lstrip("+")[:1].isdigit() for x in (*words[max(0, i - 1):i], *words[i + 1:i + 2]))
+               for i, w in enumerate(words))
+
+
+def _mixed_numbers(low: str) -> list[tuple[int, int, str]]:
+    """Edits that join the parts of numbers in words and digits, where the result is a phone, card or ip."""
+    edits = []
+    for x in _MIXED.finditer(low):
+        parts = [(x.start() + p.start(), x.start() + p.end(), p.group()) for p in _PART.finditer(x.group())]
+        if not any(w in DIGIT_WORDS for _, _, w in parts):
+            continue
+        new = ["+" if w in PLUS_WORDS else "." if w in DOT_WORDS or w == "." else DIGIT_WORDS.get(w, "" if w[0] in " ,().-" else w) for _, _, w in parts]
+        if detect("".join(new)):
+            edits += [(a, b, n) for (a, b, w), n in zip(parts, new) if n != w]
+    return edits
+
+
+def _disguised_emails(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write at and dot as signs, each in whatever form, around what is shaped like an e-mail address."""
+    edits, done = [], 0
+    for x in _SIGN.finditer(text):
+        start = x.start()
+        if start <= done or text[start - 1] not in _LOCAL:
+            continue
+        m = _DISGUISED_DOMAIN.match(text, x.end())
+        if not m:
+            continue
+        dots, at = [], start
+        while at > done and text[at - 1] in _LOCAL:
+            at -= 1
+            if at > done and text[at - 1] == " ":
+                y = _BARE_DOT_BEFORE.search(text, max(done, at - _DOT_WIDTH), at)
+                if y and y.start() > done and text[y.start() - 1] in _LOCAL:
+                    dots.append((y.start(), y.end(), "."))
+                    at = y.start()
+        dots.reverse()
+        after = [(y.start(), y.end(), ".") for y in _BARE_DOT.finditer(text, m.start(), m.end())]
+        if x.group().strip() != "@" and not dots and not after:
+            last = m.group().rsplit(".", 1)[1]
+            if text[at:start].lower() in _NOT_LOCAL or not (len(last) > 1 and last.isalpha() and last.islower()):
+                continue
+        edits += [*dots, *([(start, x.end(), "@")] if x.group() != "@" else []), *after]
+        done = m.end()
+    return edits
+
+
 def normalise(text: str, look: re.Pattern, table_: dict[str, str]) -> Mapped | None:
     """The normal form of ``text``, or None if no transducer finds a cue."""
     m = Mapped(text)
@@ -185,7 +250,8 @@ def normalise(text: str, look: re.Pattern, table_: dict[str, str]) -> Mapped | N
         m.rewrite([(x.start(), x.end(), "".join(table_[c] for c in x.group())) for x in look.finditer(text)])
     low = _lowered(m.text)
     edits = []
-    for x in _SPELLED.finditer(low) if _has_digit_run(low) else ():
+    run = _has_digit_run(low)
+    for x in _SPELLED.finditer(low) if run else ():
         if (x.start() and low[x.start() - 1].isalnum()) or (x.end() < len(low) and low[x.end()].isalpha()):
             continue
         words = _TOKEN.findall(x.group())
@@ -193,14 +259,13 @@ def normalise(text: str, look: re.Pattern, table_: dict[str, str]) -> Mapped | N
             new = "".join("+" if w in PLUS_WORDS else "." if w in DOT_WORDS else DIGIT_WORDS.get(w, w) for w in words)
             edits.append((x.start(), x.end(), new))
     m.rewrite(edits)
+    low = _lowered(m.text) if edits else low
+    if (run or _ANY_DIGIT.search(low)) and _has_number(low):
+        m.rewrite(_mixed_numbers(low))
     if any(c in m.text for c in "[({<"):
         m.rewrite([(x.start(), x.end(), "." if x[1].lower() in DOT_WORDS or x[1] == "." else "@") for x in _BRACKETED.finditer(m.text)])
-    edits = []
-    if any(f" {w} " in low for w in DOT_WORDS):
-        for x in _BARE.finditer(m.text):
-            edits.append((x.start(), x.end(), "@"))
-            edits += [(x.start(1) + y.start(), x.start(1) + y.end(), ".") for y in _BARE_DOT.finditer(x[1])]
-    m.rewrite(edits)
+    if "@" in m.text or any(f" {w} " in low for w in AT_WORDS):
+        m.rewrite(_disguised_emails(m.text))
     return m if m.edits else None
 
 

@@ -41,6 +41,21 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert [(k, text[a:b]) for k, a, b in added] == [(kind, found)]
 
 
+@pytest.mark.parametrize("kind, found", [
+    ("email", "john[at]example dot com"), ("email", "john (at) example dot com"), ("email", "john@example dot com"), ("email", "john at example.com"), ("email", "john at example[dot]com"),
+    ("email", "john dot doe at example dot com"), ("email", "j dot r dot doe@example dot co.uk"), ("email", "john.doe at mail.example dot com"), ("email", "john @ example dot com"),
+    ("phone", "+1 five five 5 123 4567"), ("phone", "plus one 555 123 4567"), ("phone", "+1 (555) five 23-4567"), ("ip", "10 dot zero dot 0 dot 1"), ("card", "4111 1111 1111 one one 11"), ("phone", "plus four one five five five five one two three four")])
+def test_mixed_disguises(kind, found):
+    for text in (found, f"mail, {found}, now", f"({found})", f"é {found} united"):
+        plain, added = pii.finder()(text)
+        assert [(k, text[a:b]) for k, a, b in plain + added] == [(kind, found)]
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "it was at v2.0 then", "one 1 two 2", "hello @user", "at one. Two at three.Four", "a dot b dot c", "from one 555 to two 666"])
+def test_places_and_numbers_are_left_alone(text):
+    assert pii.finder()(text) == ([], [])
+
+
 @pytest.mark.parametrize("text", ["meet me at example dot", "one of two", "look at this. dot com", "numbers one, two and three", "Ünïcödé täxt with nothing"])
 def test_ordinary_text_is_left_alone(text):
     assert pii.finder()(text) == ([], [])
