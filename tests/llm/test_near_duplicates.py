@@ -1,5 +1,7 @@
 """The shingle join against all pairs, and the pipeline against plain steps."""
 
+import math
+from collections import Counter, defaultdict
 import random
 
 import corpus_pipeline
@@ -7,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import DOCS, components, docs, empty, key, repeated_words, rows, sentence, shingles, words
+from test_native import plain_targets
 
 from graphweft.llm import jaccard_join, pieces, pii
 from graphweft.llm.shingles import exact_set, shingle_sets
@@ -101,3 +104,41 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
     for r in got:
         if r.doc_id is not None:
             assert model.decode(r.ids) == pii.mask_text(texts[r.doc_id], sum(find(texts[r.doc_id]), []))
+
+
+def plain_pipeline(spark, items):
+    """items: (doc_id, text, lang, source) -> expected (doc_id, lang, source, decoded text) rows of the pipeline but the order; only row hashes come from Spark."""
+    def clean(t):
+        w, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
+        return (len(w) >= 10 and 100 * repeated_words(t) <= 20 * len(w) and 2 * sum((t or "").count(c) for c in "#*$%&|<>") <= len(w)
+                and 100 * (len(lines) - len(set(lines))) <= 30 * len(lines) and 2 * len(w) <= sum(map(len, w)) <= 25 * len(w))
+    kept = [r for r in items if clean(r[1])]
+    comp, _ = components([(r[0], r[1]) for r in kept])
+    seen, left, find = set(), [], pii.finder()
+    for r, c in zip(kept, comp, strict=True):
+        if r[0] is None or (c == r[0] and r[0] not in seen):
+            seen.add(r[0])
+            left.append((r[0], pii.mask_text(r[1], sum(find(r[1]), [])), *r[2:]))
+    table = spark.createDataFrame([(k, r[0], r[1]) for k, r in enumerate(left)], "k int, id bigint, t string")
+    u = {r.k: r.u for r in table.selectExpr("k", "xxhash64(id, xxhash64(t)) u").collect()}
+    sizes, before, out = defaultdict(int), defaultdict(int), []
+    for r in left:
+        sizes[r[3]] += len(words(r[1]))
+    goal = plain_targets(sizes)
+    for k in sorted(u, key=lambda k: (u[k] % 2**64 >> 52, u[k])):
+        r, n = left[k], len(words(left[k][1]))
+        rate = min(3.0, goal[r[3]] / sizes[r[3]])
+        whole = math.floor(rate + 1e-9)
+        out += [(r[0], r[2], r[3], r[1])] * (whole + (before[r[3]] + n / 2 < (rate - whole) * sizes[r[3]]))
+        before[r[3]] += n
+    return out
+
+
+def test_pipeline_gives_every_row_of_the_plain_version(spark, tmp_path):
+    some = [*ALL, (900, "write to a@b.co now " + " ".join(f"w{i}" for i in range(40)), "en", "s1", 5, *ALL[0][5:])]
+    docs(spark, some).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    model = pieces.Pieces.load()
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = plain_pipeline(spark, [r[:4] for r in some])
+    assert len(want) > 20 and Counter((r.doc_id, r.lang, r.source, model.decode(r.ids)) for r in got) == Counter(want)
+    assert all(r.n_tokens == len(r.ids) and list(r.ids) == list(model.encode(model.decode(r.ids))) for r in got)
