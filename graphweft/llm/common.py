@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,14 +40,52 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared scratch folder and read it back: lineage ends there."""
+def written(df: DataFrame, owner: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared scratch folder and read it back: lineage ends there.
+
+    The table goes when the driver's JVM ends, or earlier by :func:`dropped` if its path is put into ``owner``.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/graphweft-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    if owner is not None:
+        owner.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, owner: list[str]) -> None:
+    """Delete the tables whose paths are in ``owner``: nothing that is still to run may read them."""
+    for path in owner:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    owner.clear()
+
+
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Arrow batches of at most about ``size`` bytes for what runs inside: without it a task of a scan holds 64 MB of text on either side."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of at most ``rows`` rows and about ``size`` bytes of the string ``column``; a longer text is a part of its own."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        upto, at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), 0
+        while at < batch.num_rows:
+            end = min(at + rows, max(at + 1, int(np.searchsorted(upto, upto[at] + size, "right")) - 1), batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that ``df`` doesn't have, compared without case as Spark does."""
     have, out = {c.lower() for c in df.columns}, []
@@ -66,11 +109,12 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     Alternating large-star and small-star rounds, each one aggregation and a written table; rounds grow
     with the logarithm of the diameter. Large-star never sends a whole neighbourhood to one task: the
     smallest neighbour is an aggregate with map-side combination, joined back by key, and Spark's
-    skew-join handling splits hot keys. Nothing is collected but two sums per round.
+    skew-join handling splits hot keys. It ends when the stars are disjoint: no node is both a centre and
+    a leaf, and no leaf has two centres. Nothing is collected but that flag.
     """
+    spark, old, new = edges.sparkSession, [], []
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), old)
     for _ in range(max_rounds):
         # Large star: neighbours above the node move to the least of the node and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -79,11 +123,14 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         # Small star: neighbours below the node, and the node, move to the least of them.
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         low = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(low.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        state = e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("bigint"))).first()
-        if tuple(state) == before:
+        e = written(low.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), new)
+        dropped(spark, old)
+        old, new = new, []
+        # Of each node: how many centres it has, and whether it is a centre.
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        odd = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1")
+        if odd.isEmpty():
             break
-        before = tuple(state)
     else:
         raise RuntimeError("components did not settle")
     flat = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-WIDTH = 5
+WIDTH, CHUNK = 5, 1 << 17
 _B = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INV = np.uint64(pow(_B, -1, 1 << 64))
 _B = np.uint64(_B)
@@ -33,6 +33,21 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word raw[start:end], over blocks of about CHUNK bytes, so that the sums don't grow with the text."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + CHUNK, "right")))
+        part = raw[lo:int(ends[j - 1])]
+        up, down = _power_tables(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:len(part)], out=total[1:])
+        out[i:j] = mix((total[ends[i:j] - lo] - total[starts[i:j] - lo]) * down[starts[i:j] - lo])
+        i = j
+    return out
+
+
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """For non-null texts: sorted distinct shingle hashes, text after text, and the n + 1 offsets of the texts.
 
@@ -52,10 +67,7 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[offs] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
     ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
-    up, down = _power_tables(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=total[1:])
-    words = mix((total[ends] - total[starts]) * down[starts])
+    words = _word_hashes(raw, starts, ends)
     per_text = np.diff(np.searchsorted(starts, offs))
     first_word = np.concatenate([[0], np.cumsum(per_text)])
     joined = words * _MULT[0]

@@ -50,10 +50,51 @@ def test_linked_sets_share_a_signature(frequent):
         every = np.sort(np.array(list(a | b), np.uint64))
         common = {"none": every[:0], "some": every[::2], "all": every}[frequent]
         arrays = [np.sort(np.array(list(x), np.uint64)) for x in (a, b)]
-        sig, owner = jaccard_join.Signer(np.sort(common)).sign(np.concatenate(arrays), np.array([0, len(a), len(a) + len(b)]))
+        sig, owner, _, _ = jaccard_join.Signer(np.sort(common)).sign(np.concatenate(arrays), np.array([0, len(a), len(a) + len(b)]))
         assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist())
 
 
+def test_prefixes_of_linked_sets_share_a_signature():
+    """The allocation: under any one order of signatures, sets may leave out as many of their last level-0 signatures as their slack says."""
+    r = random.Random(8)
+    for n in [*range(5, 60, 3), 127, 128, 300, 700]:
+        a = {r.getrandbits(64) for _ in range(n)}
+        b = set(list(a)[r.randint(0, n // 5):])
+        if 100 * len(a & b) < 75 * len(a | b):
+            continue
+        arrays = [np.sort(np.array(list(x), np.uint64)) for x in (a, b)]
+        sig, owner, role, code = jaccard_join.Signer(np.zeros(0, np.uint64)).sign(np.concatenate(arrays), np.array([0, len(a), len(a) + len(b)]))
+        for salt in range(5):
+            left = []
+            for who in (0, 1):
+                mine = set()
+                for part in (0, 1):
+                    at = (owner == who) & (role == part)
+                    c = int(code[at].min(initial=127))
+                    spare = math.floor(2 ** ((c - 1) / 8)) - 1 if c else 0
+                    ordered = sorted(sig[at].tolist(), key=lambda x: hash((salt, x)))
+                    mine |= set(ordered[:len(ordered) - spare])
+                left.append(mine)
+            assert left[0] & left[1]
+
+
+def test_texts_longer_than_a_block_of_hashes(monkeypatch):
+    from graphweft.llm import shingles as module
+    texts = pa.array([" ".join(f"w{i % 977}é" for i in range(30_000)), "x" * 400_000 + " a b c d", ""])
+    whole = shingle_sets(texts)
+    monkeypatch.setattr(module, "CHUNK", 100)
+    cut = shingle_sets(texts)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+
+
+def test_of_rows_with_one_id_the_least_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    made = [(1, b, "x"), (1, a, "z"), (1, a, "y"), (2, a + " c", "x"), (3, None, "x"), (3, "", "w"), (None, a, "q")]
+    for rows_ in (made, made[::-1]):
+        out = jaccard_join.without_near_duplicates(spark.createDataFrame(rows_, "doc_id bigint, text string, source string"))
+        assert sorted(map(tuple, out.collect()), key=key) == sorted([(1, a, "y"), (3, None, "x"), (None, a, "q")], key=key)
+
+
 def test_components(spark):
     got = sorted(map(tuple, jaccard_join.components(docs(spark)).collect()), key=key)
     comp, sizes = components([(r[0], r[1]) for r in ALL])
