@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import col, fresh, table
+from .common import col, fresh, sliced, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -87,7 +87,9 @@ class Pieces:
         self._forget()
 
     @classmethod
-    def load(cls, path: str = MODEL_PATH) -> Pieces:
+    def load(cls, path: str = MODEL_PATH, viterbi: bool = False) -> Pieces:
+        """The model in a file. ``viterbi``: its pieces as a unigram model; the merge ranks of a BPE model, which are no probabilities, become
+        log-probabilities by Zipf's law, and nothing is trained."""
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -98,7 +100,14 @@ class Pieces:
             raise ValueError("only models without a normaliser are supported")
         if model.trainer_spec.model_type not in (1, 2):
             raise ValueError("only unigram and BPE models are supported")
-        return cls([(p.piece, p.score, p.type) for p in model.pieces], model.trainer_spec.model_type == 1, norm.add_dummy_prefix)
+        pieces = [(p.piece, p.score, p.type) for p in model.pieces]
+        unigram = model.trainer_spec.model_type == 1
+        if viterbi and not unigram:
+            plain = np.array([s for _, s, t in pieces if t == _NORMAL])
+            low = plain.max(initial=0)
+            total = np.log((1 / (low - plain + 2)).sum()) if len(plain) else 0.0
+            pieces = [(p, -float(np.log(low - s + 2) + total) if t == _NORMAL else 0.0, t) for p, s, t in pieces]
+        return cls(pieces, unigram or viterbi, norm.add_dummy_prefix)
 
     def _table(self, codes: np.ndarray) -> np.ndarray:
         """For chunks of equal length as rows: the piece id of [i, i + k + 1) at [row, i, k], or -1."""
@@ -366,32 +375,58 @@ def _utf8(raw: bytearray) -> str:
         return "".join(out)
 
 
-def tokenised(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or the columns ``keep``) with ``n_tokens``, ``ids`` and ``round_trip``: whether decoding gives the text back."""
-    model = Pieces.load(model_path)
+def tokenised(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "text", keep: list[str] | None = None, round_trip: bool = True, viterbi: bool = False) -> DataFrame:
+    """``docs`` (or the columns ``keep``) with ``n_tokens`` and ``ids``; ``round_trip`` adds whether decoding gives the text back."""
+    model = Pieces.load(model_path, viterbi)
     kept = docs.columns if keep is None else keep
-    names = [n if n.lower() not in {c.lower() for c in kept} else fresh(docs, n)[0] for n in ("n_tokens", "ids", "round_trip")]
+    names = [n if n.lower() not in {c.lower() for c in kept} else fresh(docs, n)[0] for n in ("n_tokens", "ids", "round_trip")][:3 if round_trip else 2]
     schema = docs.select(*[col(c) for c in kept]).schema
     text, = fresh(docs, "text")
-    for name, kind in zip(names, ("bigint", "array<int>", "boolean"), strict=True):
+    for name, kind in zip(names, ("bigint", "array<int>", "boolean")):
         schema = schema.add(name, T._parse_datatype_string(kind))
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                ids, ends = model.encode_all(texts)
-                starts = [0, *ends[:-1]]
+        for part in sliced(batches, len(kept)):
+            texts = part.column(part.num_columns - 1).to_pylist()
+            ids, ends = model.encode_all(texts)
+            starts = [0, *ends[:-1]]
+            offsets = pa.array([None if t is None else a for t, a in zip(texts, starts, strict=True)] + [ends[-1]], pa.int32())
+            out = [pa.array([b - a for a, b in zip(starts, ends, strict=True)], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
+            if round_trip:
                 plain = ids.tolist()
-                same = [None if t is None else model.decode(plain[a:b]) == t for t, a, b in zip(texts, starts, ends, strict=True)]
-                offsets = pa.array([None if t is None else a for t, a in zip(texts, starts, strict=True)] + [ends[-1]], pa.int32())
-                lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array([b - a for a, b in zip(starts, ends, strict=True)], pa.int64()), lists, pa.array(same, pa.bool_())], names=[*kept, *names])
+                out.append(pa.array([None if t is None else model.decode(plain[a:b]) == t for t, a, b in zip(texts, starts, ends, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *out], names=[*kept, *names])
 
     return docs.select(*[col(c) for c in kept], col(text_col).alias(text)).mapInArrow(run, schema)
 
 
+def decoded(rows: DataFrame, model_path: str = MODEL_PATH, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """``rows`` (or the columns ``keep``) with ``decoded``: the text of the piece ids; null for null, empty for no ids."""
+    model = Pieces.load(model_path)
+    kept = rows.columns if keep is None else keep
+    ids, = fresh(rows, "ids")
+    name = "decoded" if "decoded" not in {c.lower() for c in kept} else fresh(rows, "decoded")[0]
+    schema = rows.select(*[col(c) for c in kept]).schema.add(name, T.StringType())
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = [None if x is None else model.decode(x) for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*kept, name])
+
+    return rows.select(*[col(c) for c in kept], col(ids_col).alias(ids)).mapInArrow(run, schema)
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenised(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def viterbi_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batched Viterbi over the file's pieces as a unigram model."""
+    return tokenised(table(spark, sf_dir, "documents"), keep=["doc_id"], viterbi=True)
+
+
+def decoded_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, decoded): the documents' ids turned back into text."""
+    return decoded(tokenised(table(spark, sf_dir, "documents"), keep=["doc_id"], round_trip=False), keep=["doc_id", "n_tokens"])

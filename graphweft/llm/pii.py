@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, table
+from .common import col, fresh, sliced, table
 from .spans import Span, digest, joined, scan_texts
 
 KINDS = ("email", "ip", "card", "phone")
@@ -128,6 +129,7 @@ class Mapped:
 
     def __init__(self, text: str):
         self.text, self.edits = text, []  # edits: (start in the present form, length, source start, source end), ascending
+        self._index: tuple[list, list[int], list[int]] | None = None
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Apply non-overlapping ascending edits of the present form; older edits inside a new one merge into it."""
@@ -160,20 +162,22 @@ class Mapped:
         self.text, self.edits = "".join(pieces), sorted(moved)
 
     def source(self, a: int, b: int) -> tuple[int, int, bool]:
-        """Source span of [a, b) of the present form, and whether an edit is inside."""
-        start, end, touched, shift = a, b, False, 0
-        started = False
-        for at, n, src, src_end in self.edits:
-            if at >= b:
-                break
-            if not started and at + n > a:
-                start, started = (src if at <= a else a - shift), True
-            if at + max(n, 1) > a:
-                touched = True
-            if at + n >= b:
-                return (start if started else a - shift), src_end, True
-            shift = at + n - src_end
-        return (start if started else a - shift), b - shift, touched
+        """Source span of [a, b) of the present form, and whether an edit is inside; by bisection over the edits."""
+        if self._index is None or self._index[0] is not self.edits:
+            self._index = self.edits, [x[0] for x in self.edits], [x[0] + x[1] for x in self.edits]
+        _, ats, ends = self._index
+        upto = bisect_left(ats, b)  # edits before it begin before the end of the span
+        first = min(bisect_right(ends, a), upto)  # the first that reaches into the span
+        start = self.edits[first][2] if first < upto and ats[first] <= a else a - self._shift(first - 1)
+        touched = any(ats[k] + max(self.edits[k][1], 1) > a for k in range(max(0, upto - 2), upto))
+        last = bisect_left(ends, b)
+        if last < upto:
+            return start, self.edits[last][3], True
+        return start, b - self._shift(upto - 1), touched
+
+    def _shift(self, k: int) -> int:
+        """Present position minus source position behind edit k."""
+        return self.edits[k][0] + self.edits[k][1] - self.edits[k][3] if k >= 0 else 0
 
 
 def _lowered(text: str) -> str:
@@ -278,10 +282,12 @@ def finder():
         plain, added = detect(text), []
         m = normalise(text, look, table_)
         if m is not None:
-            taken = {k: sorted((a, b) for kind, a, b in plain if kind == k) for k in KINDS}
+            starts = {k: [a for kind, a, _ in plain if kind == k] for k in KINDS}
+            ends = {k: [b for kind, _, b in plain if kind == k] for k in KINDS}
             for kind, a, b in detect(m.text):
                 a, b, touched = m.source(a, b)
-                if touched and not any(x < b and a < y for x, y in taken[kind]):
+                # Plain spans of a kind ascend without overlap: those that end behind a and begin before b.
+                if touched and bisect_right(ends[kind], a) >= bisect_left(starts[kind], b):
                     added.append((kind, a, b))
         return plain, added
 
@@ -326,9 +332,8 @@ def masked(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_c
 
     def run(batches):
         find_in = finder()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+        for part in sliced(batches, at):
+            if part.num_rows:
                 texts = [t and mask_text(t, sum(find_in(t), [])) for t in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, new])
 

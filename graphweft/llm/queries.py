@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_html_text": html_text.op9_html_text,
     "op10_pieces": pieces.op10_pieces,
+    "viterbi_pieces": pieces.viterbi_pieces,
+    "decoded_pieces": pieces.decoded_pieces,
 }
 
 ORACLES: dict[str, str] = {

@@ -237,3 +237,42 @@ def test_pieces_table(spark):
     assert all(r[-1] for r in out if r.text is not None)
     assert out[0].__fields__[:13] == DOCS.names and out[0].__fields__[13:] == ["n_tokens", "__gw_ids", "round_trip"]
     assert pieces.tokenised(empty(spark)).count() == 0
+
+
+@needs_model
+def test_viterbi_finds_the_best_cut_and_decoding_gives_the_text(spark):
+    m, r = pieces.Pieces.load(viterbi=True), random.Random(3)
+    for text in ["", "hello world", "the the  theory", *(" ".join("".join(r.choice("abcdefghiß") for _ in range(r.randint(1, 9))) for _ in range(4)) for _ in range(30))]:
+        ids = m.encode(text)
+        total = sum(m.scores[i] if i not in m.byte_of else 0 for i in ids)
+        for chunk in m.chunks(text):
+            best = [0.0] + [-1e18] * len(chunk)
+            for end in range(1, len(chunk) + 1):
+                for a in range(max(0, end - m.longest), end):
+                    k = m.ids.get(chunk[a:end])
+                    score = m.scores[k] if k is not None else m.least if end - a == 1 else -1e18
+                    best[end] = max(best[end], best[a] + score)
+            total -= best[-1] if all(c in m.ids for c in chunk) else 0
+        assert text and any(c not in m.ids for c in text.replace(" ", pieces.SPACE)) or abs(total) < 1e-3
+        assert m.decode(ids) == text
+    out = pieces.decoded(pieces.tokenised(docs(spark), keep=["doc_id", "text"]), keep=["doc_id", "text"]).collect()
+    assert all(x.decoded == x.text for x in out) and len(out) == len(ALL)
+
+
+def test_long_texts_take_linear_time():
+    """Ten megabytes of disguised addresses and look-alikes, and of tokens beside findings, in seconds."""
+    import time
+    text = "пример word user (at) example (dot) org а@b.co " * 40_000
+    began = time.time()
+    plain, added = pii.finder()(text)
+    assert len(plain) >= 40_000 and len(added) >= 40_000 and time.time() - began < 60
+
+
+def test_spans_of_a_rewritten_text_lie_where_they_were():
+    find = pii.finder()
+    for before in ("", "а" * 5, "x\u200b\u200by (at) z "):
+        for body, kind in (("joe (at) mail (dot) org", "email"), ("j\u200boe@mail.org", "email"), ("+1 five five 5 123 4567", "phone"), ("１０.0.0.1", "ip")):
+            text = f"{before} call {body} soon"
+            plain, added = find(text)
+            at = text.index(body)
+            assert (kind, at, at + len(body)) in plain + added or (kind, at + 3, at + len(body)) in plain
