@@ -33,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's piece ids: doc_id, lang, source, n_tokens, ids."""
-    return pieces.tokenised(docs, keep=["doc_id", "lang", "source"]).drop("round_trip")
+    return pieces.tokenised(docs, keep=["doc_id", "lang", "source"], round_trip=False)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mix", mix), ("encode", encode)]
