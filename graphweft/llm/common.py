@@ -86,6 +86,15 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256, size
             at = end
 
 
+#: Rows of a few numbers that a broadcast may have: at most some 20 MB.
+BROADCAST_ROWS = 400_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of rows of a few numbers, marked for broadcast if its counted rows are few; joins shuffle otherwise."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that ``df`` doesn't have, compared without case as Spark does."""
     have, out = {c.lower() for c in df.columns}, []

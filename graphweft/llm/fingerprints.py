@@ -1,8 +1,8 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-Every paragraph (a ``\\n``-separated piece) is hashed into a wide, sparse vector, and the fingerprint is the sum of
-these vectors, lane by lane, modulo 2^16, beside the number of paragraphs and four sums modulo 2^62 that every paragraph
-adds to, each of its own hash. Texts whose paragraphs differ are equal in all sums with chance about 2^-248, if the hashes
+Every paragraph (a piece between line ends, cut again behind sentences, so a long line isn't all or nothing) is hashed into a
+wide vector, and the fingerprint is the sum of these vectors, lane by lane: four lanes modulo 2^62 that every paragraph adds to,
+each of its own hash, lanes modulo 2^16 that carry the likeness, and the number of paragraphs. Texts whose paragraphs differ are equal in all sums with chance about 2^-248, if the hashes
 are independent; no two such texts are expected among 2^100. xxhash64 isn't built against an adversary. So equal texts have equal fingerprints,
 the order of paragraphs doesn't matter, and inserting or deleting a paragraph adds or subtracts its vector
 (:func:`combine`) without reading the rest of the document.
@@ -29,15 +29,17 @@ from pyspark.sql import functions as F
 from .common import col, table
 
 LEVELS = ((64, 1), (32, 16), (32, 256), (32, 1024), (32, 4096), (32, 16384), (32, 65536))  # lanes, and one paragraph in so many
+#: Where paragraphs are cut: line ends, and spaces behind the end of a sentence.
+UNIT_END = r"\n|(?<=[.!?…。！？])[ ]+"
 SUMS, SUM_BITS = 4, (1 << 62) - 1  # two summands stay below 2^63
 LANES = sum(n for n, _ in LEVELS)
 QUANTILES = 64
-RANGE_ROWS = 500
+RANGE_ROWS, STRETCH = 500, 4096
 
 
 def fingerprint(text: Column) -> Column:
     """Struct of ``n`` (paragraphs), ``lanes`` (array<int>, each below 2^16) and ``sums`` (array<bigint>, each below 2^62)."""
-    pieces = F.array(F.split(F.coalesce(text, F.lit("")), "\n"))
+    pieces = F.array(F.split(F.coalesce(text, F.lit("")), UNIT_END))
     return F.element_at(F.transform(pieces, lambda ps: F.element_at(F.transform(F.array(F.transform(ps, lambda p: F.xxhash64(p))), lambda hs: _summed(hs, ps)), 1)), 1)
 
 
@@ -119,8 +121,13 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # The head of a bucket: its largest id, and the smallest text among rows with that id.
     tops = rows.groupBy("bucket").agg(F.max("key").alias("key"))
     heads = rows.join(tops, ["bucket", "key"], "left_semi").groupBy("bucket").agg(F.min("text").alias("head"))
-    line = Window.orderBy(F.col("bucket").desc())  # over buckets
-    order = tops.select("bucket", F.coalesce(F.lead("bucket").over(line), F.max("bucket").over(Window.partitionBy())).alias("below"))
+    # The next bucket below that has rows: within a stretch of buckets, else the last one of the next stretch that has any.
+    tops = tops.withColumn("stretch", F.expr(f"bucket DIV {STRETCH}"))
+    stretches = tops.groupBy("stretch").agg(F.max("bucket").alias("top_bucket"))
+    line = Window.orderBy(F.col("stretch").desc())  # over stretches, one for STRETCH * RANGE_ROWS rows
+    stretches = stretches.select("stretch", F.coalesce(F.lead("top_bucket").over(line), F.max("top_bucket").over(Window.partitionBy())).alias("next_stretch"))
+    falling = Window.partitionBy("stretch").orderBy(F.col("bucket").desc())
+    order = tops.withColumn("in_stretch", F.lead("bucket").over(falling)).join(stretches, "stretch").select("bucket", F.coalesce("in_stretch", "next_stretch").alias("below"))
     heads = order.join(heads.withColumnRenamed("bucket", "below"), "below").select("bucket", "head")
     place = Window.partitionBy("bucket").orderBy(F.col("key").desc(), F.col("text"))
     found = rows.withColumns({"next": F.lead("text").over(place), "last": F.lead(F.lit(1)).over(place).isNull()})

@@ -10,7 +10,8 @@ class and id. A class or id token is boilerplate if its last word is, words of s
 and no word denies it or tells a state or layout (``no-sidebar``, ``nav-open``, ``layout-sidebar``). An element so named stays
 nevertheless if it holds most of the page's content and either an h1 or main element, or all there is.
 
-Pages are read in one pass over their tags; nothing is capped, and unclosed or stray tags are tolerated the way
+Pages are read in one pass over their tags, and elements and tag paths are numbered, so the work is linear in the page however deep it
+nests; nothing is capped, and unclosed or stray tags are tolerated the way
 browsers do (a paragraph ends where the next block begins; an end tag closes to its nearest open one, or nothing).
 
 Edge cases: a null or empty page gives an empty text; a page without content paths uses all its paths; rows are
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, table
+from .common import col, sliced, table
 
 # Element classes of HTML, and words that mark boilerplate.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -88,26 +89,65 @@ def _part(tag: str, attrs: str, inside_article: bool) -> int:
 
 
 class Page:
-    """Blocks of a page: text, tag path, and the chain of open element numbers (root first)."""
+    """A page read once. Elements and tag paths are numbered as they open, each with its parent's number, so a block is three numbers
+    and its text, however deep it lies."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[str, ...], tuple[int, ...]]] = []
-        self.tags: list[str] = []  # tag of each element number
-        self._stack: list[tuple[str, int, int]] = []  # tag, number, part
-        self._named: list[tuple[int, ...]] = []  # of each block, the open elements named as boilerplate
-        self._heads: set[int] = set()  # elements around an h1 or main element
+        self.blocks: list[tuple[str, int, int]] = []  # text, path, innermost block-level element (-1: none)
+        self.tags: list[str] = []  # of each block-level element
+        self.parents: list[int] = []
+        self.paths: list[tuple[int, str]] = [(-1, "")]  # parent's path, last tag
+        self._path_ids: dict[tuple[int, str], int] = {}
+        # Of each open element: tag, part, its named element or the enclosing one, block-level element, path, innermost block-level place on the stack.
+        self._stack: list[tuple[str, int, int, int, int, int]] = []
+        self._open_tags: dict[str, int] = defaultdict(int)
+        self._dropped = 0  # open elements that are dropped
+        self._named_parents: list[int] = []  # elements named as boilerplate: the enclosing one
+        self._named_head: list[bool] = []
+        self._named: list[int] = []  # of each block, the innermost element named as boilerplate
         self._buffer: list[str] = []
         self._read(source)
-        if any(self._named):
+        if self._named_parents:
             self._drop_named()
 
+    def _top(self) -> tuple[int, int, int, int]:
+        """Named element, block-level element, path, and place of the innermost block-level element, at the top of the stack."""
+        return self._stack[-1][2:] if self._stack else (-1, -1, 0, -1)
+
     def _flush(self) -> None:
         text = " ".join(entities.unescape("".join(self._buffer)).split())
-        if text and not any(d == DROPPED for _, _, d in self._stack):
-            self._named.append(tuple(n for _, n, d in self._stack if d == NAMED))
-            self.blocks.append((text, tuple(t for t, _, _ in self._stack if t in BLOCK), tuple(n for t, n, _ in self._stack if t in BLOCK)))
+        if text and not self._dropped:
+            named, element, path, _ = self._top()
+            self._named.append(named)
+            self.blocks.append((text, path, element))
         self._buffer = []
 
+    def _push(self, tag: str, part: int) -> None:
+        named, element, path, place = self._top()
+        if tag in BLOCK:
+            self.tags.append(tag)
+            self.parents.append(element)
+            element, key = len(self.tags) - 1, (path, tag)
+            path = self._path_ids.get(key, -1)
+            if path < 0:
+                path = self._path_ids[key] = len(self.paths)
+                self.paths.append(key)
+            place = len(self._stack)
+        if part == NAMED:
+            self._named_parents.append(named)
+            self._named_head.append(False)
+            named = len(self._named_parents) - 1
+        self._dropped += part == DROPPED
+        self._open_tags[tag] += 1
+        self._stack.append((tag, part, named, element, path, place))
+
+    def _cut(self, i: int) -> None:
+        """Close the elements from place i on."""
+        for x in self._stack[i:]:
+            self._dropped -= x[1] == DROPPED
+            self._open_tags[x[0]] -= 1
+        del self._stack[i:]
+
     def _open(self, tag: str, attrs: str) -> None:
         if tag in ENDS_P:
             self._close_implied(("p",), ("table", "td", "th", "li", "div", "article", "section", "blockquote"))
@@ -124,33 +164,45 @@ class Page:
         if tag in BLOCK:
             self._flush()
         if tag not in VOID:
-            inside = any(t in ("article", "main") for t, _, _ in self._stack)
             if tag in ("h1", "main"):
-                self._heads.update(n for _, n, _ in self._stack)
-            self._stack.append((tag, len(self.tags), _part(tag, attrs, inside)))
-            self.tags.append(tag)
+                k = self._top()[0]
+                while k >= 0 and not self._named_head[k]:
+                    self._named_head[k], k = True, self._named_parents[k]
+            self._push(tag, _part(tag, attrs, bool(self._open_tags["article"] or self._open_tags["main"])))
 
     def _drop_named(self) -> None:
         """Blocks in elements named as boilerplate go, but for elements that hold the page's content."""
-        content = content_paths(self.blocks)
-        mass: dict[int, int] = defaultdict(int)
+        content = content_paths(self)
+        up, mass = self._named_parents, [0] * len(self._named_parents)
+        alone = [False] * (len(mass) + 1)  # whether content lies in this element, or outside all, and in no named element within it
         total = 0
         for (text, path, _), named in zip(self.blocks, self._named):
-            w = len(text) * _is_content(path, content)
-            total += w
-            for n in named:
-                mass[n] += w
-        kept: set[int] = set()
-        for n in sorted(n for n, w in mass.items() if 2 * w > total):  # outer ones first
-            if n in self._heads or not any(_is_content(path, content) and kept.issuperset(named) for (_, path, _), named in zip(self.blocks, self._named) if n not in named):
-                kept.add(n)
-        self.blocks = [b for b, named in zip(self.blocks, self._named) if kept.issuperset(named)]
+            if _is_content(self, path, content):
+                total += len(text)
+                alone[named] = True
+                if named >= 0:
+                    mass[named] += len(text)
+        for k in range(len(up) - 1, -1, -1):
+            if up[k] >= 0:
+                mass[up[k]] += mass[k]
+        kept = [False] * len(up)
+        # An element that holds most of the content lies on one line from the root; outer ones come first. It stays if it has the heading, or if
+        # no content that stays lies outside it.
+        outside = alone[-1]
+        for k in range(len(up)):
+            inside = up[k] < 0 or kept[up[k]]
+            if inside and 2 * mass[k] > total and (self._named_head[k] or not outside):
+                kept[k] = True
+                outside = outside or alone[k]
+        self.blocks = [b for b, named in zip(self.blocks, self._named) if named < 0 or kept[named]]
 
     def _close_implied(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        if not any(self._open_tags[t] for t in tags):
+            return
         for i in range(len(self._stack) - 1, -1, -1):
             if self._stack[i][0] in tags:
                 self._flush()
-                del self._stack[i:]
+                self._cut(i)
                 return
             if self._stack[i][0] in stops:
                 return
@@ -158,13 +210,13 @@ class Page:
     def _close(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
-        for i in range(len(self._stack) - 1, -1, -1):
+        if not self._open_tags[tag]:
+            return
+        # An inline end tag doesn't close blocks.
+        least = -1 if tag in BLOCK else self._top()[3]
+        for i in range(len(self._stack) - 1, least, -1):
             if self._stack[i][0] == tag:
-                if any(t in BLOCK for t, _, _ in self._stack[i:]):
-                    if tag not in BLOCK:
-                        return  # an inline end tag doesn't close blocks
-                    self._flush()
-                del self._stack[i:]
+                self._cut(i)
                 return
 
     def _read(self, s: str) -> None:
@@ -214,10 +266,10 @@ class Page:
         self._flush()
 
 
-def path_scores(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...]]]) -> dict[tuple[str, ...], float]:
+def path_scores(page: Page) -> dict[int, float]:
     """Fused and smoothed ratio of each tag path: mean length, mean punctuation, and their spread over its blocks."""
     lengths, marks = defaultdict(list), defaultdict(list)
-    for text, path, _ in blocks:
+    for text, path, _ in page.blocks:
         lengths[path].append(len(text))
         marks[path].append(len(PUNCTUATION.findall(text)))
     raw = {}
@@ -228,32 +280,31 @@ def path_scores(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...]]]) -> d
         raw[path] = mean * (1 + dots) * (1 + math.log1p(spread)) * math.log1p(n)
     # Smoothing: a Gaussian of the distance in the tree of paths, up to 2: parent and children 1, siblings 2. Sums per parent keep it linear.
     near, far = math.exp(-1 / 2), math.exp(-2)
-    children: dict[tuple[str, ...], tuple[float, int]] = defaultdict(lambda: (0.0, 0))
+    children: dict[int, tuple[float, int]] = defaultdict(lambda: (0.0, 0))
     for path, x in raw.items():
-        if path:
-            s, n = children[path[:-1]]
-            children[path[:-1]] = s + x, n + 1
+        s, n = children[page.paths[path][0]]
+        children[page.paths[path][0]] = s + x, n + 1
     out = {}
     for path, x in raw.items():
-        total, weight = x * (1 - far if path else 1), 1 - far if path else 1
-        parent = path[:-1] if path else None
-        for (s, n), w in ((children.get(parent, (0.0, 0)), far), ((raw[parent], 1) if parent in raw else (0.0, 0), near), (children.get(path, (0.0, 0)), near)):
+        parent = page.paths[path][0]
+        total, weight = (x * (1 - far), 1 - far) if parent >= 0 else (x, 1)
+        for (s, n), w in ((children.get(parent, (0.0, 0)) if parent >= 0 else (0.0, 0), far), ((raw[parent], 1) if parent in raw else (0.0, 0), near), (children.get(path, (0.0, 0)), near)):
             total, weight = total + w * s, weight + w * n
         out[path] = total / weight
     return out
 
 
-def _is_content(path: tuple[str, ...], content: set[tuple[str, ...]]) -> bool:
-    return path in content or path[-1:] in (("h1",), ("p",))
+def _is_content(page: Page, path: int, content: set[int]) -> bool:
+    return path in content or page.paths[path][1] in ("h1", "p")
 
 
-def content_paths(blocks: list[tuple[str, tuple[str, ...], tuple[int, ...]]], share: float = 0.3) -> set[tuple[str, ...]]:
+def content_paths(page: Page, share: float = 0.3) -> set[int]:
     """Paths whose score is at least a share of the mean over the text; all, if none is."""
-    scores = path_scores(blocks)
-    size: dict[tuple[str, ...], int] = defaultdict(int)
-    for text, path, _ in blocks:
+    scores = path_scores(page)
+    size: dict[int, int] = defaultdict(int)
+    for text, path, _ in page.blocks:
         size[path] += len(text)
-    mean = sum(scores[p] * size[p] for p in scores) / sum(size.values())
+    mean = sum(scores[p] * size[p] for p in scores) / max(1, sum(size.values()))
     return {p for p, s in scores.items() if s >= share * mean} or set(scores)
 
 
@@ -261,24 +312,38 @@ def main_blocks(page: Page, share: float = 0.3) -> list[str]:
     """Texts of the blocks in the content container, in page order."""
     if not page.blocks:
         return []
-    content = content_paths(page.blocks, share)
-    mass: dict[int, int] = defaultdict(int)
-    children: dict[int, set[int]] = defaultdict(set)
-    for text, path, chain in page.blocks:
-        w = len(text) * _is_content(path, content)
-        mass[-1] += w
-        for parent, node in zip((-1, *chain), chain):
-            children[parent].add(node)
-            mass[node] += w
-    node = -1
-    while mass[node]:
-        best = max((c for c in sorted(children[node]) if page.tags[c] in CONTAINERS), key=lambda c: mass[c], default=None)
-        if best is None or mass[best] < mass[node]:
+    content = content_paths(page, share)
+    mass, total = [0] * len(page.tags), 0
+    holds = [False] * len(page.tags)  # whether a block lies in the element
+    for text, path, element in page.blocks:
+        w = len(text) * _is_content(page, path, content)
+        total += w
+        if element >= 0:
+            mass[element] += w
+            holds[element] = True
+    children: dict[int, list[int]] = defaultdict(list)
+    for k in range(len(page.tags) - 1, -1, -1):  # parents have smaller numbers
+        up = page.parents[k]
+        if holds[k]:
+            children[up].append(k)
+            if up >= 0:
+                holds[up] = True
+                mass[up] += mass[k]
+    node, here = -1, total
+    while here:
+        best = max((c for c in reversed(children[node]) if page.tags[c] in CONTAINERS), key=mass.__getitem__, default=None)
+        if best is None or mass[best] < here:
             break
-        node = best
+        node, here = best, mass[best]
         if page.tags[node] in ("article", "main") and not any(page.tags[c] == "article" for c in children[node]):
             break
-    return [t for t, _, chain in page.blocks if node < 0 or node in chain]
+    if node < 0:
+        return [t for t, _, _ in page.blocks]
+    inside = [False] * len(page.tags)
+    inside[node] = True
+    for k in range(node + 1, len(page.tags)):
+        inside[k] = page.parents[k] >= 0 and inside[page.parents[k]]
+    return [t for t, _, element in page.blocks if element >= 0 and inside[element]]
 
 
 def main_text(source: str | None) -> str:
@@ -290,11 +355,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [main_text(h) for h in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=schema)
+        for part in sliced(batches, 2):
+            texts = [main_text(h) for h in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], schema=schema)
 
     slim = pages.select(col(id_col).cast("bigint").alias("page_id"), col(url_col).alias("url"), F.coalesce(col(html_col), F.lit("")).alias("html"))
     return slim.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

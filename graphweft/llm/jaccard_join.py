@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from .common import batch_bytes, col, connected_components, dropped, fresh, sliced, table, written
+from .common import batch_bytes, col, connected_components, dropped, fresh, sliced, small, table, written
 from .shingles import exact_set, mix, shingle_sets
 
 #: A shingle in more than FREQUENT documents is frequent; at most MAX_FREQUENT of them are told to the tasks.
@@ -329,7 +329,7 @@ def _runs(blobs: pa.Table) -> pa.Table:
     return pa.table({"a": low, "b": high, "run": r})
 
 
-def _open_members(runs: DataFrame) -> DataFrame:
+def _open_members(runs: DataFrame, scratch: list[str]) -> DataFrame:
     """(run, key): memberships of long runs that are left by the allocation.
 
     Signatures have one order for all sets: those in short runs first, then by the length of their run. If at most H of a set's
@@ -341,6 +341,7 @@ def _open_members(runs: DataFrame) -> DataFrame:
     each = Window.partitionBy("key", "role")
     m = m.withColumns({"before": F.sum("times").over(each.orderBy("k", "run")) - F.col("times"), "all": F.sum("times").over(each), "least": F.min("code").over(each)})
     left = m.where("before < all - CASE WHEN least = 0 THEN 0D ELSE floor(pow(2D, (least - 1) / 8D)) - 1 END").select("run", "key").distinct()
+    left = written(left, scratch)
     # What is left of runs may be equal: they are named anew by their members.
     names = left.groupBy("run").agg(F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("total"), F.count(F.lit(1)).alias("k")).where("k > 1")
     names = names.groupBy("total", "k").agg(F.min("run").alias("run")).select("run")
@@ -396,7 +397,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, scratch: list[str]) -> DataFram
                 ok.append(bool(s) and 100 * both >= 75 * (len(s) + len(t) - both))
             yield part.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    joined = pairs.join(one, "rep_a").join(two, "rep_b").select("rep_a", "rep_b", "text_a", "text_b")
+    joined = one.join(small(pairs), "rep_a").join(two, "rep_b").select("rep_a", "rep_b", "text_a", "text_b")
     return joined.mapInArrow(check, "rep_a bigint, rep_b bigint").distinct()
 
 
@@ -473,7 +474,8 @@ def _across(members: DataFrame, parities: DataFrame, scratch: list[str]) -> Data
     sizes = sizes.groupBy("family").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("k"))
     parts = lambda k: F.ceil(k / BLOCK).cast("int")
     sizes = sizes.select("family", F.col("top.comp").alias("largest"), parts(F.col("k")).alias("blocks"), F.greatest(F.lit(1), parts(F.col("k") - F.col("top.k"))).alias("parties"))
-    rows = rows.join(sizes, "family").withColumn("main", F.col("comp") == F.col("largest")).join(parities, "rep")
+    rows = written(rows.join(sizes, "family").withColumn("main", F.col("comp") == F.col("largest")), scratch)
+    rows = parities.join(small(rows), "rep")
     spread = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     # One expansion: (block, party, guest) for each place where the member is needed.
@@ -498,11 +500,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     frequent = _frequent_shingles(sets)
     sets = sets.where("frequent is null").drop("frequent")
     filled = sets.where("n > 0")
-    classes = table_(filled.groupBy("cid", "cid2", "n").agg(F.min("doc_id").alias("rep")))
-    # The representative's row brings the parities; repeated rows of it are equal.
-    keyed = filled.join(classes.where("rep is not null"), ["cid", "cid2", "n"]).where("doc_id = rep").select(
-        F.shiftrightunsigned("cid", 24).alias("key"), "rep", "n", "par")
-    keyed = table_(keyed.dropDuplicates(["key", "rep", "n"]))
+    # Equal sets have equal parities, so any row brings those of its class.
+    classes = table_(filled.groupBy("cid", "cid2", "n").agg(F.min("doc_id").alias("rep"), F.first("par").alias("par")))
+    keyed = classes.where("rep is not null").select(F.shiftrightunsigned("cid", 24).alias("key"), "rep", "n", "par")
     parities = keyed.select("rep", "par")
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, total // SHINGLES_PER_BUCKET)
@@ -511,11 +511,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     pairs = runs.where("run = 0").select("a", "b").join(side("a"), "a").join(side("b"), "b")
     # Classes that share a truncated id meet too.
     twins = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most")
-    clashes = keyed.join(twins.select("key"), "key").select(F.col("key").alias("run"), "rep", "n", F.col("rep").alias("comp"))
-    pairs = table_(_filtered(pairs).unionByName(_across(clashes, parities, scratch)).distinct())
+    pairs, twins = _filtered(pairs), table_(twins.select("key"))
+    if not twins.isEmpty():
+        clashes = keyed.join(twins, "key").select(F.col("key").alias("run"), "rep", "n", F.col("rep").alias("comp"))
+        pairs = pairs.unionByName(_across(clashes, parities, scratch)).distinct()
+    pairs = table_(pairs)
     links = table_(_verified(slim, pairs, scratch))
     comp = connected_components(_spanning(links), "rep_a", "rep_b")
-    members = _open_members(runs).join(keyed.select("key", "rep", "n"), "key").join(comp, F.col("rep") == F.col("node"), "left")
+    members = _open_members(runs, scratch).join(keyed.select("key", "rep", "n"), "key").join(comp, F.col("rep") == F.col("node"), "left")
     members = members.select("run", "rep", "n", F.coalesce("component", "rep").alias("comp"))
     rest = table_(_across(members, parities, scratch).join(pairs, ["rep_a", "rep_b"], "left_anti"))
     if not rest.isEmpty():
@@ -531,16 +534,18 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's. Rows with one id are one member of a group: of several, the one with the least
     text, then the least further columns in their order, stays, whatever the order of rows. Rows with a null id stay."""
+    spark = docs.sparkSession
     keep, first = fresh(docs, "keep", "first")
-    kept = components(docs, id_col, text_col).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
-    kept = kept.select(F.col("doc_id").alias(keep), F.col("k").alias(first))
-    one = docs.join(kept, col(id_col).cast("bigint") == F.col(keep))
-    # Ids that aren't repeated need no further shuffle.
-    several = one.where(F.col(first) > 1).select(*[col(c) for c in docs.columns])
+    with batch_bytes(spark):
+        ids = components(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("k"))
+        # What needs attention: ids that go (0), and ids that stay with one of several rows (their number).
+        odd = written(ids.where("doc_id <> c OR k > 1").select(F.col("doc_id").alias(keep), F.when(F.col("doc_id") == F.col("c"), F.col("k")).otherwise(0).alias(first)))
+    at = col(id_col).cast("bigint") == F.col(keep)
+    single = docs.join(small(odd), at, "left_anti")  # rows with a null id stay too
+    several = docs.join(small(odd.where(F.col(first) > 1)), at).select(*[col(c) for c in docs.columns])
     order = [c for c in (text_col, *docs.columns) if c != id_col and not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
     least = several.groupBy(col(id_col)).agg(F.min_by(F.struct(*[col(c) for c in docs.columns]), F.struct(*[col(c) for c in dict.fromkeys(order)])).alias(first)).select(f"{first}.*")
-    single = one.where(F.col(first) == 1).select(*[col(c) for c in docs.columns])
-    return single.unionByName(least).unionByName(docs.where(col(id_col).isNull()))
+    return single.unionByName(least)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,12 +8,14 @@ step of a fold over the source rows. Rates are then rounded into whole copies: e
 part of its rate; the fractional part f of a source goes to the documents that come first in a hash order,
 until f of the source's tokens are reached, so the taken tokens miss the target by half a document at most.
 
-Only DataFrame functions run. A hot source is spread over 4096 hash buckets for its prefix sums and for every
-join, so no task holds a source. Windows without a partition run over source rows alone.
+Only DataFrame functions run. A hot source is spread over 4096 hash buckets for its sums; the fraction of a source ends in one
+of them, and only that bucket's rows are ordered, so a document's copies follow from its own hash and a row of its source: texts
+are never shuffled while the sources are few enough to broadcast, which is counted first. Windows without a partition run over
+source rows alone.
 
 Edge cases: a null text has size 0; size-0 documents take 0 words; null sources are a source of their own, the
-last; a table with no words has targets 0; repeated rows share a place in the order and are told apart
-arbitrarily (they are equal); an empty table gives an empty mix; extra columns are ignored by :func:`mix` and
+last; a table with no words has targets 0; rows with equal id and text have one place in the order and are taken
+alike; an empty table gives an empty mix; extra columns are ignored by :func:`mix` and
 kept by :func:`mixed_documents`.
 """
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, fresh, table, written
+from .common import col, fresh, small, table, written
 
 #: Weights dealt to the sources in order, and the most times a word may be taken.
 WEIGHTS = (5, 2, 1)
@@ -60,48 +62,65 @@ def newton_rates(sources: DataFrame) -> DataFrame:
     return sources.withColumn("rate", F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.least(F.exp(dual), F.lit(float(MAX_REPEATS)))).otherwise(0.0))
 
 
-def mix_sizes(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """rows: (source, size, order key columns ``u`` and ``id``, ``keep``). Adds source_size, target, rate, copies, taken."""
+def _cutoffs(rows: DataFrame) -> DataFrame:
+    """rows: (source, size, u). Per source: source_size, target, rate, and the place (cut_hb, cut_u) in hash order up to which the fraction goes.
+
+    Sums per hash bucket give the one bucket of a source in which the fraction ends; only its rows are ordered.
+    """
     rows = rows.withColumn("hb", F.shiftrightunsigned(F.col("u"), 64 - BUCKET_BITS))
     buckets = rows.groupBy("source", "hb").agg(F.sum("size").alias("bucket_size"))
     sources = newton_rates(targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))))
-    b, s = buckets.alias("b"), sources.alias("s")
-    buckets = b.join(s, F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.*", "source_size", "target", "rate")
+    sources = written(sources.withColumn("wanted", (F.col("rate") - _whole("rate")) * F.col("source_size")))
+    b, s = buckets.alias("b"), small(sources).alias("s")
+    buckets = b.join(s, F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.*", "wanted")
     earlier = Window.partitionBy("source").orderBy("hb").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("bucket_before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
-    within = Window.partitionBy("source", "hb").orderBy("u", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum("size").over(within)).alias("r")
-    b = buckets.alias("b")
-    out = rows.join(b, F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.hb") == F.col("b.hb"))).select(
-        *[f"r.{k}" for k in keep], "r.size", "r.upto", "b.bucket_before", "b.source_size", "b.target", "b.rate")
-    whole = F.floor(F.col("rate") + 1e-9)
-    middle = F.col("bucket_before") + F.col("upto") - F.col("size") / 2
-    extra = (F.col("size") > 0) & (middle < (F.col("rate") - whole) * F.col("source_size"))
-    out = out.withColumn("copies", (whole + F.when(extra, 1).otherwise(0)).cast("int"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop("upto", "bucket_before")
+    buckets = buckets.withColumn("before", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
+    last = buckets.where("before < wanted").groupBy("source").agg(F.max(F.struct("hb", "before", "wanted")).alias("at")).select("source", "at.*")
+    last = written(last)
+    inside = rows.alias("r").join(small(last).alias("l"), F.col("r.source").eqNullSafe(F.col("l.source")) & (F.col("r.hb") == F.col("l.hb"))).select("r.*", "l.before", "l.wanted")
+    upto = F.sum("size").over(Window.partitionBy("source", "hb").orderBy("u", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = inside.withColumn("middle", F.col("before") + upto - F.col("size") / 2).where("middle < wanted")
+    cut = inside.groupBy("source").agg(F.max("u").alias("cut_u"))
+    l, c, s = last.alias("l"), cut.alias("c"), sources.alias("s")
+    out = s.join(l, F.col("s.source").eqNullSafe(F.col("l.source")), "left").join(c, F.col("s.source").eqNullSafe(F.col("c.source")), "left")
+    return written(out.select("s.source", "s.source_size", "s.target", "s.rate", F.col("l.hb").alias("cut_hb"), F.col("c.cut_u").alias("cut_u")))
+
+
+def _whole(rate: str) -> Column:
+    return F.floor(F.col(rate) + 1e-9)
+
+
+def _copies(size: Column, u: Column) -> Column:
+    """Copies of a document, by the columns of :func:`_cutoffs`: the whole part of the rate, and one more before the cut."""
+    hb = F.shiftrightunsigned(u, 64 - BUCKET_BITS)
+    extra = (size > 0) & ((hb < F.col("cut_hb")) | ((hb == F.col("cut_hb")) & (u <= F.col("cut_u"))))
+    return (_whole("rate") + F.when(extra, 1).otherwise(0)).cast("int")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, rate, copies, taken."""
-    rows = written(docs.select(col(id_col).alias("id"), col(source_col).alias("source"), word_count(col(text_col)).alias("size")))
-    return mix_sizes(rows.withColumn("u", F.xxhash64("id")), ["id"]).withColumnRenamed("id", "doc_id")
+    rows = written(docs.select(col(id_col).alias("id"), col(source_col).alias("source"), word_count(col(text_col)).alias("size"), F.xxhash64(col(id_col), F.xxhash64(col(text_col))).alias("u")))
+    s = small(_cutoffs(rows.select("source", "size", "u"))).alias("s")
+    out = rows.alias("r").join(s, F.col("r.source").eqNullSafe(F.col("s.source")))
+    out = out.select(F.col("r.id").alias("doc_id"), "r.size", "s.source_size", "s.target", "s.rate", _copies(F.col("r.size"), F.col("r.u")).alias("copies"))
+    return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    copies, key, hashed = fresh(docs, "copies", "key", "hashed")
-    rows = written(docs.select(col(id_col).alias("id"), col(source_col).alias("source"), word_count(col(text_col)).alias("size"), F.xxhash64(col(text_col)).alias("h")))
-    taken = mix_sizes(rows.withColumn("u", F.xxhash64("id", "h")), ["id", "h"])
-    # Rows with equal id and text share a row of counts, so the join doesn't multiply repeated rows.
-    each = taken.groupBy("id", "h").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("n"))
-    left = docs.withColumn(hashed, F.xxhash64(col(text_col))).alias("d")
-    joined = left.join(each.alias("e"), col(id_col).eqNullSafe(F.col("e.id")) & (F.col(hashed) == F.col("e.h")))
-    joined = joined.select("d.*", F.col("e.total").alias(copies), F.col("e.n").alias(key))
-    place = F.when(F.col(key) == 1, 1).otherwise(F.row_number().over(Window.partitionBy(col(id_col), F.col(hashed)).orderBy(col(source_col))))
-    joined = joined.withColumn(key + "p", place)
-    share = F.floor(F.col(copies) / F.col(key)) + F.when(F.col(key + "p") <= F.col(copies) % F.col(key), 1).otherwise(0)
-    out = joined.withColumn(copies, F.explode(F.array_repeat(F.lit(1), share.cast("int"))))
-    return out.select(*[col(c) for c in docs.columns])
+    """The rows of ``docs``, each as often as the mix takes it. Texts aren't shuffled unless the sources are too many to broadcast."""
+    names = fresh(docs, "source", "size", "u", "copies")
+    source, size, u, copies = names
+    hashed = docs.withColumns({size: word_count(col(text_col)), u: F.xxhash64(col(id_col), F.xxhash64(col(text_col)))})
+    slim = written(hashed.select(col(source_col).alias("source"), F.col(size).alias("size"), F.col(u).alias("u")))
+    s = _cutoffs(slim).select(F.col("source").alias(source), "rate", "cut_hb", "cut_u")
+    inner = fresh(docs, "rate", "cut_hb", "cut_u")
+    # The names of the cutoffs must not meet columns of the documents.
+    clash = {"rate", "cut_hb", "cut_u"} & {c.lower() for c in docs.columns}
+    row = hashed if not clash else hashed.select(F.struct(*[col(c) for c in docs.columns]).alias(inner[0]), F.col(size), F.col(u), col(source_col).alias(inner[1]))
+    key = col(source_col) if not clash else F.col(inner[1])
+    joined = row.join(small(s), key.eqNullSafe(F.col(source)))
+    joined = joined.withColumn(copies, F.explode(F.array_repeat(F.lit(1), _copies(F.col(size), F.col(u)))))
+    return joined.select(*[col(c) for c in docs.columns]) if not clash else joined.select(f"{inner[0]}.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

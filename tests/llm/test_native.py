@@ -155,7 +155,7 @@ def test_mix(spark):
         s = seen[(r.doc_id, r.size)]
         assert r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and r.taken <= 3 * r.size and r.taken == r.copies * r.size
         taken[s] += r.taken
-    assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1 for s in want)
+    assert all(abs(taken[s] - want[s]) <= 3 * largest[s] / 2 + 1 for s in want)  # some rows stand there three times
     assert sorted(map(tuple, got), key=key) == sorted(map(tuple, mixing.mix(docs(spark)).collect()), key=key)
     assert mixing.mix(empty(spark)).count() == 0
     assert [r.taken for r in mixing.mix(docs(spark, ALL[:3])).collect()] == [0, 0, 0]
@@ -164,9 +164,9 @@ def test_mix(spark):
 def test_mixed_documents(spark):
     out = mixing.mixed_documents(docs(spark))
     assert out.schema == DOCS
-    taken = sum(len(words(r.text)) for r in out.collect())
-    assert taken == sum(r.taken for r in mixing.mix_sizes(docs(spark).select(
-        "source", mixing.word_count(F.col("text")).alias("size"), F.col("doc_id").alias("id"), F.xxhash64("doc_id", F.xxhash64("text")).alias("u")), ["id"]).collect())
+    assert sum(len(words(r.text)) for r in out.collect()) == sum(r.taken for r in mixing.mix(docs(spark)).collect())
+    clashing = docs(spark).withColumns({"rate": F.lit("x"), "CUT_U": F.lit("y")})
+    assert mixing.mixed_documents(clashing).drop("rate", "CUT_U").exceptAll(out).isEmpty()
     assert mixing.mixed_documents(empty(spark)).count() == 0
 
 
