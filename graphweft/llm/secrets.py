@@ -29,13 +29,14 @@ from .spans import Span, digest, joined, scan_texts
 KINDS = ("assign", "access", "hex", "learned")
 #: Documented bounds of the training set and the model.
 TRAIN_ROWS, WIDTH, CONTEXT, RECALL, SEED = 6000, 48, 16, 0.97, 11
-MIN_CANDIDATE = 16
+MIN_CANDIDATE = 12
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _KEYWORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_CANDIDATE},}}")
+_LETTER, _NUMERAL = re.compile("[A-Za-z]"), re.compile("[0-9]")
 
 
 def _ascii_lower(text: str) -> str:
@@ -66,26 +67,44 @@ def patterns(text: str) -> list[Span]:
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens of at least MIN_CANDIDATE characters with a digit and a letter."""
-    if not any(len(w) >= MIN_CANDIDATE for w in text.split()):
-        return []
-    out = []
+def candidates(text: str, plain: list[Span] = ()) -> list[tuple[int, int]]:
+    """Tokens, and what plain findings leave of them, of at least MIN_CANDIDATE characters with a digit and a letter, or of twice as many letters
+    in both cases. One sweep over tokens and findings."""
+    out, found, k = [], sorted((a, b) for _, a, b in plain), 0
     for m in _CANDIDATE.finditer(text):
-        w = m.group()
-        if any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
-            out.append(m.span())
+        at, end, pieces = m.start(), m.end(), []
+        while k < len(found) and found[k][0] < end:
+            a, b = found[k]
+            if a > at:
+                pieces.append((at, a))
+            at = max(at, b)
+            if b > end:
+                break  # it may reach into the next token
+            k += 1
+        if at < end:
+            pieces.append((at, end))
+        for a, b in pieces:
+            if b - a >= MIN_CANDIDATE:
+                w = text[a:b]
+                letters = _LETTER.search(w)
+                if letters and (_NUMERAL.search(w) or (b - a >= 2 * MIN_CANDIDATE and not w.islower() and not w.isupper() and not w.istitle() and w.isalpha())):
+                    out.append((a, b))
     return out
 
 
 def encoded(text: str, start: int, end: int) -> np.ndarray:
     """Rows of CONTEXT + WIDTH + CONTEXT codes: windows that cover the whole candidate. 0 pads, 1 is any other character."""
-    rows = []
-    for at in range(start, max(end - WIDTH // 2, start + 1), WIDTH // 2):
-        mid = text[at:min(end, at + WIDTH)].ljust(WIDTH, "\0")
-        whole = text[max(0, start - CONTEXT):start].rjust(CONTEXT, "\0") + mid + text[end:end + CONTEXT].ljust(CONTEXT, "\0")
-        rows.append([ord(c) - 30 if 32 <= ord(c) < 127 else min(ord(c), 1) for c in whole])
-    return np.array(rows, np.int64)
+    codes = np.frombuffer(text[max(0, start - CONTEXT):end + CONTEXT].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    codes = np.where((codes >= 32) & (codes < 127), codes - 30, np.minimum(codes, 1))
+    lead, size = min(start, CONTEXT), end - start
+    before, mid, after = codes[:lead], codes[lead:lead + size], codes[lead + size:]
+    starts = np.arange(0, max(size - WIDTH // 2, 1), WIDTH // 2)
+    out = np.zeros((len(starts), 2 * CONTEXT + WIDTH), np.int64)
+    out[:, CONTEXT - lead:CONTEXT] = before
+    padded = np.append(mid, np.zeros(WIDTH, np.int64))
+    out[:, CONTEXT:CONTEXT + WIDTH] = padded[starts[:, None] + np.arange(WIDTH)]
+    out[:, CONTEXT + WIDTH:CONTEXT + WIDTH + len(after)] = after
+    return out
 
 
 class CharNet:
@@ -184,7 +203,7 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[str,
     for i in range(n):
         label = i % 2
         if label:
-            size = int(r.integers(18, 60))
+            size = int(r.integers(14, 60))
             shape = [low + up + num, low + up + num + "+/", low + num, num + "abcdef", up + num, low + up + num + "_-"][int(r.integers(6))]
             word = [pick(shape, size), ["sk_", "pk_", "ghp_", "xox-"][int(r.integers(4))] + pick(low + up + num, size), "eyJ" + pick(low + up + num, size)][int(r.integers(3))]
         else:
@@ -193,7 +212,9 @@ def labelled_findings(n: int = TRAIN_ROWS, seed: int = SEED) -> list[tuple[str,
                 lambda: f"20{pick(num, 2)}-{pick('01', 2)}-{pick('012', 2)}_{syl(3)}", lambda: "_".join(syl(2) for _ in range(3)) + "_v" + pick(num, 1),
                 lambda: syl(3).title() + syl(2).title() + syl(3).title() + pick(num, 1), lambda: "www." + syl(4) + ".example.org/" + pick(num, 2),
                 lambda: syl(9) + pick(num, 2), lambda: "mail" + pick(num, 1) + "." + syl(2) + [".com", ".example.net"][int(r.integers(2))], lambda: ".".join([syl(2), syl(3), "v" + pick(num, 1), syl(2), pick(num, 2)]),
-            ][int(r.integers(9))]().ljust(MIN_CANDIDATE, "e")
+                lambda: "-".join(pick(num + "abcdef", k) for k in (8, 4, 4, 4, 12)), lambda: f"20{pick(num, 2)}-0{pick('123456789', 1)}-1{pick(num, 1)}T1{pick(num, 1)}:0".replace(":", "") + pick(num, 2) + "Z",
+                lambda: "".join(syl(2).title() for _ in range(5)), lambda: syl(2) + "-" + ".".join(pick(num, 1) for _ in range(3)) + "-" + syl(2) + ".tar.gz",
+            ][int(r.integers(13))]().ljust(MIN_CANDIDATE, "e")
         before = [syl(3) + " ", "key: ", "auth=", '"', "(", "id ", "see ", "use "][int(r.integers(8))]
         text = syl(4) + " " + before + word + [" ", '"', ", ", ") ", "\n"][int(r.integers(5))] + syl(3)
         start = text.index(word)
@@ -217,7 +238,7 @@ def default_net() -> CharNet:
 
 def learned(text: str, net: CharNet, plain: list[Span]) -> list[Span]:
     """Candidates outside plain findings whose calibrated score reaches the threshold."""
-    spans = [(a, b) for a, b in candidates(text) if not any(x < b and a < y for _, x, y in plain)]
+    spans = candidates(text, plain)
     if not spans:
         return []
     windows = [encoded(text, a, b) for a, b in spans]

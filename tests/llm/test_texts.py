@@ -284,3 +284,40 @@ def test_deep_pages_take_linear_time(part):
     began = time.process_time()
     html_text.main_text(part * (1_000_000 // len(part)))
     assert time.process_time() - began < 20
+
+
+def foreign_findings(n=400, seed=77):
+    """Tokens in the formats of well-known services and of harmless identifiers, none of them made by the training generator."""
+    r = random.Random(seed)
+    up, low, num = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    secret = [lambda: pick(up + low + num + "/+", 40), lambda: "gho_" + pick(up + low + num, 36), lambda: "AIza" + pick(up + low + num + "_-", 35), lambda: "rk_live_" + pick(up + low + num, 24),
+              lambda: f"xoxb-{pick(num, 11)}-{pick(up + low + num, 24)}", lambda: "npm_" + pick(up + low + num, 36), lambda: pick(up + low + num, 20) + "==", lambda: "SG." + pick(up + low + num, 22) + "." + pick(up + low + num, 43)]
+    other = [lambda: "-".join(pick(num + "abcdef", k) for k in (8, 4, 4, 4, 12)), lambda: f"IMG_20{pick(num, 6)}_{pick(num, 6)}.jpg", lambda: "github.com/" + pick(low, 6) + "/" + pick(low, 8) + "/issues/" + pick(num, 3),
+             lambda: "chapter-" + pick(num, 1) + "-introduction-to-gardening", lambda: "python3.11-slim-bookworm", lambda: "Donaudampfschiff" + pick(num, 2), lambda: f"978-3-16-{pick(num, 6)}-{pick(num, 1)}x", lambda: "en.wikipedia.org/wiki/World_War_" + pick(num, 1)]
+    for i in range(n):
+        make = (secret if i % 2 else other)[i // 2 % 8]
+        word = make()
+        text = f"{r.choice(['the key', 'see', 'value', 'open'])} {word} {r.choice(['today', 'and then', 'please'])}"
+        yield text, text.index(word), text.index(word) + len(word), i % 2
+
+
+def test_net_on_formats_it_was_not_trained_on():
+    net, hit, false, n = secrets.default_net(), 0, 0, 0
+    for text, a, b, label in foreign_findings():
+        spans = secrets.learned(text, net, [])
+        found = any(x < b and a < y for _, x, y in spans)
+        n += label
+        hit, false = hit + (label and found), false + (not label and found)
+    print("recall", hit / n, "false", false / n)
+    assert hit / n >= 0.9 and false / n <= 0.2
+
+
+def test_candidates_beside_findings_are_scored_and_long_tokens_are_linear():
+    import time
+    assert secrets.candidates("x" * 10 + "9" * 10 + "abc123abc123abc", [("hex", 0, 20)]) == [(20, 35)]
+    began = time.process_time()
+    text = "token=abcdef1 Zm9vYmFyMTIzNDU2Nzg5 " * 30_000
+    assert len(secrets.learned(text[:70_000], secrets.default_net(), secrets.patterns(text[:70_000]))) <= 4000
+    secrets.candidates(text, secrets.patterns(text))
+    assert len(secrets.encoded("aB3" * 400_000, 0, 1_200_000)) >= 40_000 and time.process_time() - began < 30
