@@ -1,7 +1,9 @@
 """Joins, unions, MINUS, grouping and the solution modifiers.
 
-Variables that can be unbound match anything, so their join condition admits nulls; all others join by plain equality,
-which Spark plans as a hash or sort-merge join and broadcasts where the size allows.
+Variables join by plain equality, which Spark plans as a hash or sort-merge join and broadcasts where the size allows. Variables that
+can be unbound match anything: where no other variable gives an equality, rows are parted into those with the variable bound, which
+join by equality, and those without, which meet all rows, as their meaning is. MINUS asks for one bound variable in common, so it is
+a chain of anti joins by equality.
 """
 
 from __future__ import annotations
@@ -42,12 +44,42 @@ def _names_in_order(left: Solution, right: Solution) -> list[str]:
     return list(dict.fromkeys([*left.vars, *right.vars]))
 
 
+def _loose(left: Solution, right: Solution) -> list[tuple[Column, Column]] | None:
+    """Both columns of each shared variable, if every one of them can be unbound on a side; None if some can't."""
+    out = []
+    for name in left.vars.keys() & right.vars.keys():
+        a, b = left.vars[name], right.vars[name]
+        if a.type == NONE or b.type == NONE:
+            continue
+        if not (a.nullable or b.nullable):
+            return None
+        out.append(unified(a, b)[:2])
+    return out
+
+
+def _parted(left: DataFrame, right: DataFrame, loose: list[tuple[Column, Column]]) -> list[DataFrame]:
+    """The join's parts by which of the loose variables are bound on both sides."""
+    if not loose:
+        return [left.crossJoin(right)]
+    (x, y), rest = loose[0], loose[1:]
+    on = _all([x == y, *[(p == q) | p.isNull() | q.isNull() for p, q in rest]])
+    bound = left.where(x.isNotNull())
+    return [bound.join(right.where(y.isNotNull()), on, "inner"), *_parted(left.where(x.isNull()), right, rest), *_parted(bound, right.where(y.isNull()), rest)]
+
+
 def join(left: Solution, right: Solution) -> Solution:
     conditions, joint, _ = _shared(left, right)
-    on = _all(conditions)
-    df = left.df.crossJoin(right.df) if on is None else left.df.join(right.df, on, "inner")
     both = left.vars | right.vars | joint
-    return Solution(df, both, left.order + right.order).keep({n: both[n] for n in _names_in_order(left, right)})
+    order, names = left.order + right.order, _names_in_order(left, right)
+    loose = _loose(left, right)
+    if loose is None:
+        parts = [left.df.join(right.df, _all(conditions), "inner")]
+    else:
+        parts = _parted(left.df, right.df, loose)
+    first, *others = (Solution(df, both, order).keep({n: both[n] for n in names}) for df in parts)
+    for other in others:
+        first.df = first.df.union(other.df)
+    return first
 
 
 def condition_scope(left: Solution, right: Solution) -> Solution:
@@ -85,8 +117,14 @@ def minus(left: Solution, right: Solution) -> Solution:
     conditions, _, bound = _shared(left, right)
     if not bound:
         return left
-    some = [] if any(not (left.vars[n].nullable or right.vars[n].nullable) for n in left.vars.keys() & right.vars.keys()) else [reduce(lambda a, b: a | b, bound)]
-    return Solution(left.df.join(right.df, _all([*conditions, *some]), "left_anti"), left.vars, left.order, left.sorted)
+    loose = _loose(left, right)
+    if loose is None:
+        return Solution(left.df.join(right.df, _all(conditions), "left_anti"), left.vars, left.order, left.sorted)
+    df = left.df
+    for k, (x, y) in enumerate(loose):
+        others = [(p == q) | p.isNull() | q.isNull() for i, (p, q) in enumerate(loose) if i != k]
+        df = df.join(right.df.where(y.isNotNull()), _all([x == y, *others]), "left_anti")
+    return Solution(df, left.vars, left.order, left.sorted)
 
 
 def union(left: Solution, right: Solution) -> Solution:

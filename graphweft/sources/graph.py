@@ -127,30 +127,29 @@ class Graph:
         return self.add_triples(self.spark.createDataFrame(rows, TRIPLES))
 
     def load_ntriples(self, path: str) -> Graph:
-        """Read N-Triples in parallel, one triple a line."""
+        """Read N-Triples in parallel, one triple a line; only blank lines and comments aren't triples, anything else is an error.
+        The triples are parsed once and stored by predicate, so a pattern reads its own predicate's files."""
         term_ = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
         line = rf"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+{term_}\s*\.\s*(?:#.*)?$"
-        rows = self.spark.read.text(path).where(F.rlike("value", F.lit(r"^\s*[<_]")))
+        rows = self.spark.read.text(path).where(~F.rlike("value", F.lit(r"^\s*(#.*)?$")))
         s, p, o = (F.regexp_extract("value", line, k) for k in (1, 2, 3))
-        rows = rows.select(s.alias("rs"), p.alias("p"), o.alias("ro"))
+        rows = rows.select(s.alias("rs"), _unescaped(p).alias("p"), o.alias("ro"))
         bad = rows.where("p = ''").limit(1).count()
         if bad:
             raise ValueError(f"{path} has lines that aren't N-Triples")
         kind = lambda c: F.when(F.startswith(c, F.lit("<")), "iri").when(F.startswith(c, F.lit("_:")), "blank").otherwise("literal")
-        bare = lambda c: F.when(F.startswith(c, F.lit("<")), F.regexp_replace(c, "^<|>$", "")).when(F.startswith(c, F.lit("_:")), F.substring(c, 3, 1 << 30))
+        bare = lambda c: F.when(F.startswith(c, F.lit("<")), _unescaped(F.regexp_replace(c, "^<|>$", ""))).when(F.startswith(c, F.lit("_:")), F.substring(c, 3, 1 << 30))
         rs, ro = F.col("rs"), F.col("ro")
         lexical = F.regexp_extract(ro, r'^"((?:[^"\\]|\\.)*)"', 1)
-        mark = "\x00"
-        plain = F.regexp_replace(lexical, r"\\\\", mark)
-        for a, b in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r")):
-            plain = F.regexp_replace(plain, a, b)
-        plain = F.regexp_replace(plain, mark, r"\\")
+        plain = _unescaped(lexical)
         lang = F.nullif(F.lower(F.regexp_extract(ro, r'"@([A-Za-z0-9-]+)$', 1)), F.lit(""))
         dt = F.nullif(F.regexp_extract(ro, r'"\^\^<([^>]*)>$', 1), F.lit(""))
         is_literal = kind(ro) == "literal"
-        return self.add_triples(rows.select(
+        from ..operators.scratch import stored  # the operators know graphs
+
+        return self.add_triples(stored(rows.select(
             kind(rs).alias("s_kind"), bare(rs).alias("s"), "p", kind(ro).alias("o_kind"), F.when(is_literal, plain).otherwise(bare(ro)).alias("o"),
-            F.when(is_literal, F.when(lang.isNotNull(), F.lit(LANG_STRING)).otherwise(F.coalesce(dt, F.lit(XSD.string)))).alias("o_datatype"), lang.alias("o_lang")).distinct())
+            F.when(is_literal, F.when(lang.isNotNull(), F.lit(LANG_STRING)).otherwise(F.coalesce(dt, F.lit(XSD.string)))).alias("o_datatype"), lang.alias("o_lang")).distinct(), "p"))
 
     def load_turtle(self, text: str) -> Graph:
         """Parse Turtle text on the driver (for small graphs; N-Triples are read in parallel)."""
@@ -203,6 +202,19 @@ class Graph:
         return out
 
 
+def _unescaped(c: Column) -> Column:
+    """Text with the escapes of N-Triples resolved: one cut into escapes and plain runs."""
+    def piece(x: Column) -> Column:
+        code = lambda: F.decode(F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0")), "UTF-32")
+        out = F.when(~F.startswith(x, F.lit("\\")), x).when(F.rlike(x, F.lit(r"^\\u[0-9A-Fa-f]{4}$|^\\U[0-9A-Fa-f]{8}$")), code())
+        for letter, char in (("t", "\t"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("f", "\f")):
+            out = out.when(x == F.lit("\\" + letter), F.lit(char))
+        return out.otherwise(F.substring(x, 2, 1 << 30))
+
+    cut = F.regexp_extract_all(c, F.lit(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), F.lit(0))
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(cut, piece), "")).otherwise(c)
+
+
 def _struct(kind: str, value: str, datatype: str | None = None, lang: str | None = None) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(F.col(kind).alias("kind"), F.col(value).alias("value"), (F.col(datatype) if datatype else none).alias("datatype"), (F.col(lang) if lang else none).alias("lang"))

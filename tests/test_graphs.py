@@ -32,6 +32,28 @@ def test_ntriples(spark, tmp_path):
         Graph(spark).load_ntriples(str(tmp_path / "bad.nt"))
 
 
+def test_ntriples_lines_and_escapes(spark, tmp_path):
+    f = tmp_path / "g.nt"
+    f.write_text('<http://e/a> <http://e/p> "x\\u00e9 \\U0001F600 \\t\\b\\f\\\\ end" .\n  # note\n<http://e/\\u0062> <http://e/p> "plain" .\n')
+    g = Graph(spark).load_ntriples(str(f))
+    assert ask(g, "SELECT ?s ?o WHERE { ?s e:p ?o }") == [("http://e/a", "xé 😀 \t\b\f\\ end"), ("http://e/b", "plain")]
+    assert "Partition" in Engine(spark, g).explain(P + "SELECT ?o WHERE { e:a e:p ?o }")
+    f.write_text('<http://e/a> <http://e/p> "x" .\ngarbage\n')
+    with pytest.raises(ValueError):
+        Graph(spark).load_ntriples(str(f))
+
+
+def test_unbound_variables_join_by_parts(spark):
+    lit = lambda n: Literal(str(n), XSD.integer)
+    g = Graph(spark).add_terms([(e(f"s{i}"), e("p"), lit(i)) for i in range(6)] + [(e(f"s{i}"), e("q"), lit(i % 3)) for i in range(0, 6, 2)] + [(e("z"), e("r"), lit(2)), (e("y"), e("r"), lit(5))])
+    got = ask(g, "SELECT ?v ?x WHERE { ?s e:p ?v OPTIONAL { ?s e:q ?x } { ?t e:r ?x } }")
+    q = {0: 0, 2: 2, 4: 1}
+    assert got == sorted([(v, x) for v in range(6) for x in (2, 5) if v not in q or q[v] == x])
+    left = ask(g, "SELECT ?v WHERE { { ?s e:p ?v OPTIONAL { ?s e:q ?x } } MINUS { ?t e:r ?x } }")
+    assert left == [(v,) for v in range(6) if q.get(v) not in (2, 5)]
+    assert "NestedLoop" not in Engine(spark, g).explain(P + "SELECT ?v WHERE { { ?s e:p ?v OPTIONAL { ?s e:q ?x } } MINUS { ?t e:r ?x } }")
+
+
 def test_mixed_terms(spark):
     g = Graph(spark).add_terms([(e("a"), e("p"), Literal("1", XSD.integer)), (e("b"), e("p"), Literal("x")), (e("c"), e("p"), e("a"))])
     assert [r[0] for r in ask(g, "SELECT ?s WHERE { ?s e:p ?o FILTER(?o > 0) }")] == ["http://e/a"]
