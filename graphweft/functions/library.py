@@ -79,8 +79,13 @@ def _after(s: Column, sep: Column) -> Column:
 
 
 def _substr(v: Typed, start: Typed, length: Typed | None = None) -> Typed:
-    s, at = text(v), as_number(*num(start), INTEGER).cast("int")
-    return F.substring(s, at, F.length(s) if length is None else as_number(*num(length), INTEGER).cast("int")), STRING
+    """The characters at the positions from start on, below start + length; positions count from 1, so a start below 1 shortens the result."""
+    s, at = text(v), as_number(*num(start), INTEGER).cast("bigint")
+    first, n = F.greatest(at, F.lit(1)), F.length(s).cast("bigint")
+    count = n if length is None else F.greatest(F.lit(0), F.least(n, at + as_number(*num(length), INTEGER).cast("bigint") - first))
+    # greatest and least skip nulls: an unbound argument is an error.
+    known = s.isNotNull() & at.isNotNull() & (F.lit(True) if length is None else num(length)[0].isNotNull())
+    return F.when(known, F.substring(s, F.least(first, n + 1).cast("int"), count.cast("int"))), STRING
 
 
 def _flags(flags: Typed | None) -> Column:
@@ -163,14 +168,17 @@ def floor_to_seconds(v: Typed, n: Typed) -> Typed:
 
 
 def date_bin(interval: Typed, v: Typed, origin: Typed) -> Typed:
-    """The date time, floored to a multiple of a duration (PT10M, or a number of seconds) since an origin."""
+    """The date time, floored to a multiple of a duration (PT10M, P1W, or a number of seconds) since an origin.
+
+    Months and years have no fixed length: a duration of them alone gives null.
+    """
     c, t = v
     if interval[1].numeric:
         step = (as_number(*interval, DOUBLE) * 1_000_000).cast("bigint")
     else:
         s = text(interval)
         pick = lambda p: F.coalesce(F.nullif(F.regexp_extract(s, p, 1), F.lit("")).try_cast("decimal(18,6)"), F.lit(0))
-        step = ((pick("([0-9]+)D") * 86400 + pick("T.*?([0-9]+)H") * 3600 + pick("T.*?([0-9]+)M") * 60 + pick("T.*?([0-9.]+)S")) * 1_000_000).cast("bigint")
+        step = ((pick("([0-9]+)W") * 604800 + pick("([0-9]+)D") * 86400 + pick("T.*?([0-9]+)H") * 3600 + pick("T.*?([0-9]+)M") * 60 + pick("T.*?([0-9.]+)S")) * 1_000_000).cast("bigint")
     at, start = F.unix_micros(time(v).cast("timestamp")), F.unix_micros(time(origin).cast("timestamp"))
     out = F.timestamp_micros(at - F.pmod(at - start, F.nullif(step, F.lit(0))))
     return (out.cast("timestamp_ntz"), t) if t.template == "ntz" else (out, DATETIME)

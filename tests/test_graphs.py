@@ -32,6 +32,23 @@ def test_ntriples(spark, tmp_path):
         Graph(spark).load_ntriples(str(tmp_path / "bad.nt"))
 
 
+def test_substr_positions(spark):
+    g = Graph(spark).add_terms([(e("a"), e("p"), Literal("abcdef", XSD.string))])
+    cases = [(1, None), (3, None), (0, None), (-2, None), (9, None), (0, 3), (-1, 4), (-9, 3), (2, 0), (2, 2), (5, 9), (7, 1)]
+    calls = " ".join(f"(SUBSTR(?o, {at}{'' if n is None else f', {n}'}) AS ?c{k})" for k, (at, n) in enumerate(cases))
+    want = tuple("".join(c for i, c in enumerate("abcdef", 1) if i >= at and (n is None or i < at + n)) for at, n in cases)
+    assert ask(g, f"SELECT {calls} WHERE {{ ?s e:p ?o }}") == [want]
+    assert ask(g, "SELECT (SUBSTR(?o, ?none) AS ?x) (SUBSTR(?none, 1) AS ?y) WHERE { ?s e:p ?o OPTIONAL { ?s e:q ?none } }") == [(None, None)]
+
+
+def test_date_bin_weeks(spark):
+    g = Graph(spark).add_terms([(e("a"), e("p"), Literal("2024-01-20T05:00:00Z", XSD.dateTime))])
+    v = Vocabulary("http://e/")
+    calls = " ".join(f'(STR(e:dateBin("{d}", ?t, "2024-01-01T00:00:00Z"^^xsd:dateTime)) AS ?d{k})' for k, d in enumerate(("P1W", "P2W", "P1WT12H", "P3M")))
+    (got,) = ask(g, f"SELECT {calls} WHERE {{ ?s e:p ?t }}", vocabulary=v)
+    assert [x and x[:13] for x in got] == ["2024-01-15T00", "2024-01-15T00", "2024-01-16T00", None]
+
+
 def test_ntriples_lines_and_escapes(spark, tmp_path):
     f = tmp_path / "g.nt"
     f.write_text('<http://e/a> <http://e/p> "x\\u00e9 \\U0001F600 \\t\\b\\f\\\\ end" .\n  # note\n<http://e/\\u0062> <http://e/p> "plain" .\n')
