@@ -184,6 +184,14 @@ def date_bin(interval: Typed, v: Typed, origin: Typed) -> Typed:
     return (out.cast("timestamp_ntz"), t) if t.template == "ntz" else (out, DATETIME)
 
 
+def _encode_for_uri(v: Typed) -> Typed:
+    """All but letters, digits and -_.~ as percent escapes: the encoding of forms differs in the blank, * and ~."""
+    out = F.url_encode(text(v))
+    for form, uri in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(form), F.lit(uri))
+    return out, STRING
+
+
 def _str_dt(v: Typed, dt: Typed) -> Typed:
     made = F.struct(F.lit("literal").alias("kind"), text(v).alias("value"), text(dt).alias("datatype"), F.lit(None).cast("string").alias("lang"))
     return F.when(text(v).isNotNull(), made), TERM_TYPE
@@ -209,10 +217,10 @@ BUILT_INS: dict[str, Callable[..., Typed]] = {
     "UCASE": lambda v: (F.upper(text(v)), STRING), "LCASE": lambda v: (F.lower(text(v)), STRING),
     "STRSTARTS": _like(F.startswith), "STRENDS": _like(F.endswith), "CONTAINS": _like(F.contains),
     "STRBEFORE": _like(_before, STRING), "STRAFTER": _like(_after, STRING),
-    "ENCODE_FOR_URI": lambda v: (F.replace(F.replace(F.url_encode(text(v)), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), STRING),
+    "ENCODE_FOR_URI": _encode_for_uri,
     "CONCAT": lambda *vs: (F.concat(*map(text, vs)) if vs else F.lit(""), STRING), "REGEX": _regex, "REPLACE": _replace,
     "YEAR": _part(F.year), "MONTH": _part(F.month), "DAY": _part(F.day), "HOURS": _part(F.hour), "MINUTES": _part(F.minute), "SECONDS": _seconds,
-    "TIMEZONE": lambda v: (F.when(time(v).isNotNull(), F.lit("PT0S")), STRING), "TZ": lambda v: (F.when(time(v).isNotNull(), F.lit("" if v[1].template == "ntz" else "Z")), STRING),
+    "TIMEZONE": lambda v: (F.when(time(v).isNotNull(), F.lit(None if v[1].template == "ntz" else "PT0S").cast("string")), STRING), "TZ": lambda v: (F.when(time(v).isNotNull(), F.lit("" if v[1].template == "ntz" else "Z")), STRING),
     "MD5": lambda v: (F.md5(text(v)), STRING), "SHA1": lambda v: (F.sha1(text(v)), STRING), "SHA256": lambda v: (F.sha2(text(v), 256), STRING),
     "SHA384": lambda v: (F.sha2(text(v), 384), STRING), "SHA512": lambda v: (F.sha2(text(v), 512), STRING),
     "UUID": lambda: (F.concat(F.lit("urn:uuid:"), F.uuid()), IRI_TYPE), "STRUUID": lambda: (F.uuid(), STRING), "SAMETERM": _same_term,

@@ -18,13 +18,19 @@ def _folder(df: DataFrame) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch_path(df: DataFrame) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    spark, path = df.sparkSession, f"{_folder(df).rstrip('/')}/graphweft-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame, by: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder with a directory for each value of ``by``, so a scan reads only those it asks for.
     Large values are split over tasks; the table goes when the driver's JVM ends."""
-    spark, path = df.sparkSession, f"{_folder(df).rstrip('/')}/graphweft-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch_path(df)
     df.hint("rebalance", by).write.partitionBy(by).parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 

@@ -245,7 +245,8 @@ class Planner:
             elif not any(asc for _, asc in order):
                 rows = F.reverse(F.array_sort(rows))
             else:
-                raise UnsupportedQueryError("GROUP_CONCAT over a mixed ascending and descending order isn't supported")
+                directions = [asc for _, asc in order]
+                rows = F.array_sort(rows, lambda x, y: _mixed(x, y, directions))
             return F.array_join(F.transform(rows, lambda r: r["x"]), agg.separator), STRING
         if agg.name == "NEST":
             return F.array_sort(F.collect_list(c)), NESTED_TYPE
@@ -565,6 +566,19 @@ def _sort_columns(c: Column, t) -> list[Column]:
     return [F.to_json(c)] if t.kind in ("row", "nested") else [c]
 
 
+def _mixed(x: Column, y: Column, directions: list[bool]) -> Column:
+    """-1, 0 or 1: rows of collected order keys compared, each key in its direction; nulls are lowest, null rows come last."""
+    def one(a: Column, b: Column, asc: bool) -> Column:
+        low, high = (-1, 1) if asc else (1, -1)
+        return F.when(a.isNull() & b.isNull(), 0).when(a.isNull(), low).when(b.isNull(), high).when(a < b, low).when(a > b, high).otherwise(0)
+
+    out = one(x["x"], y["x"], True)
+    for i, asc in reversed(list(enumerate(directions))):
+        c = one(x["k"][f"k{i}"], y["k"][f"k{i}"], asc)
+        out = F.when(c != 0, c).otherwise(out)
+    return F.when(x.isNull() & y.isNull(), 0).when(x.isNull(), 1).when(y.isNull(), -1).otherwise(out)
+
+
 def _conjuncts(e) -> list:
     if isinstance(e, A.Op) and e.name == "AND":
         return _conjuncts(e.args[0]) + _conjuncts(e.args[1])

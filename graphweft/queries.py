@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .engine import Catalog, DataProduct, Engine
+from .operators.scratch import scratch_path
 from .sources.graph import Graph, Property, TableMap
 from .sources.resource import ID, Parameter, Resource, Template, TripleTemplate, Vocabulary
 from .terms import IRI, Literal, Variable
@@ -179,6 +182,27 @@ CATALOG: dict[str, tuple[str, str]] = {
                   "SELECT c_custkey AS key, c_name AS up FROM customer UNION ALL SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT c_custkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
     "path_optional": ("SELECT ?key ?up WHERE { ?n a m:Nation ; m:key ?key ; m:region? ?r . ?r m:name ?up }", "SELECT n_nationkey AS key, n_name AS up FROM nation UNION ALL SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "path_negated": ("SELECT ?name WHERE { ?n a m:Region ; m:key ?k ; !(a|m:key) ?o BIND(STR(?o) AS ?name) }", "SELECT r_name AS name FROM region"),
+    # Terms made and taken apart.
+    "lang_functions": ("SELECT ?key ?l ?m ?other ?none WHERE { ?n a m:Nation ; m:key ?key ; m:name ?name BIND(STRLANG(?name, \"en-GB\") AS ?tagged) BIND(LCASE(LANG(?tagged)) AS ?l) BIND(LANGMATCHES(LANG(?tagged), \"EN\") AS ?m) BIND(LANGMATCHES(LANG(?tagged), \"de\") AS ?other) BIND(LANG(?name) AS ?none) }",
+                       "SELECT n_nationkey AS key, 'en-gb' AS l, true AS m, false AS other, '' AS none FROM nation"),
+    "made_terms": ("SELECT ?key ?i ?is ?dt ?blank ?row WHERE { ?n a m:Nation ; m:key ?key ; m:name ?name BIND(IRI(CONCAT(\"urn:x:\", ?name)) AS ?i) BIND(ISIRI(?i) AS ?is) BIND(STRDT(STR(?key), xsd:integer) AS ?d) BIND(STR(DATATYPE(?d)) AS ?dt) BIND(ISBLANK(BNODE()) AS ?blank) BIND(ISBLANK(?n) AS ?row) }",
+                   "SELECT n_nationkey AS key, '<urn:x:' || n_name || '>' AS i, true AS \"is\", 'http://www.w3.org/2001/XMLSchema#integer' AS dt, true AS blank, false AS row FROM nation"),
+    "strdt_filter": ("SELECT ?key WHERE { ?n a m:Nation ; m:key ?key FILTER(STRDT(STR(?key), xsd:integer) >= 20) }", "SELECT n_nationkey AS key FROM nation WHERE n_nationkey >= 20"),
+    "encode_for_uri": ("SELECT ?key ?u WHERE { ?p a m:Part ; m:key ?key ; m:type ?type BIND(ENCODE_FOR_URI(CONCAT(?type, \"/\u00e9*~+&=_.-\")) AS ?u) }", "SELECT p_partkey AS key, url_encode(p_type || '/\u00e9*~+&=_.-') AS u FROM part"),
+    "random_terms": ("SELECT ?key ?a ?b ?c ?d WHERE { ?n a m:Nation ; m:key ?key BIND(RAND() AS ?r) BIND(?r >= 0 && ?r < 1 AS ?a) BIND(STRLEN(STRUUID()) AS ?b) BIND(STRSTARTS(STR(UUID()), \"urn:uuid:\") AS ?c) BIND(NOW() > \"2024-01-01T00:00:00Z\"^^xsd:dateTime AS ?d) }",
+                     "SELECT n_nationkey AS key, true AS a, CAST(36 AS BIGINT) AS b, true AS c, true AS d FROM nation"),
+    "long_hashes": ("SELECT ?key ?a ?b ?c WHERE { ?n a m:Nation ; m:key ?key BIND(SHA1(STR(?key)) AS ?a) BIND(SHA384(STR(?key)) AS ?b) BIND(SHA512(STR(?key)) AS ?c) }",
+                    "SELECT n_nationkey AS key, sha1(CAST(n_nationkey AS VARCHAR)) AS a, b, c FROM nation JOIN (VALUES " + ", ".join(f"({k}, '{hashlib.sha384(str(k).encode()).hexdigest()}', '{hashlib.sha512(str(k).encode()).hexdigest()}')" for k in range(25)) + ") v(k, b, c) ON n_nationkey = k"),
+    "same_term": ("SELECT ?key ?same ?other ?iri WHERE { ?n a m:Nation ; m:key ?key ; m:name ?name BIND(SAMETERM(?name, STR(?name)) AS ?same) BIND(SAMETERM(?key, ?name) AS ?other) BIND(SAMETERM(?n, d:nation\\/4) AS ?iri) }",
+                  "SELECT n_nationkey AS key, true AS same, false AS other, n_nationkey = 4 AS iri FROM nation"),
+    "time_zones": (f"SELECT ?tz (COUNT(?t) AS ?n) (COUNT(?zone) AS ?zones) (COUNT(?fixed) AS ?fixeds) WHERE {{ ?c a m:Customer . {_POINT} BIND(TZ(?t) AS ?tz) BIND(TIMEZONE(?t) AS ?zone) BIND(TIMEZONE(\"2024-01-01T00:00:00Z\"^^xsd:dateTime) AS ?fixed) }} GROUP BY ?tz",
+                   "SELECT '' AS tz, count(ts) AS n, CAST(0 AS BIGINT) AS zones, count(ts) AS fixeds FROM events"),
+    # Products and empty parts.
+    "cross_join": ("SELECT ?r ?n WHERE { ?a a m:Region ; m:name ?r . ?b a m:Nation ; m:name ?n }", "SELECT r_name AS r, n_name AS n FROM region CROSS JOIN nation"),
+    "attach_empty": (f"SELECT ?key ?v WHERE {{ ?c a m:Customer ; m:key ?key . FILTER(?key < 0) {_POINT} }}", "SELECT c_custkey AS key, value AS v FROM events JOIN customer ON user_id = c_custkey WHERE c_custkey < 0"),
+    "optional_empty": ("SELECT ?key ?v WHERE { ?n a m:Nation ; m:key ?key OPTIONAL { ?n g:hasTimeseries ?s . ?s g:hasDataPoint ?dp . ?dp g:hasValue ?v } }", "SELECT n_nationkey AS key, CAST(NULL AS DOUBLE) AS v FROM nation"),
+    "group_concat_mixed_order": ("SELECT ?brand (GROUP_CONCAT(?label; SEPARATOR=\",\") AS ?labels) WHERE { SELECT ?brand ?label WHERE { ?p a m:Part ; m:key ?key ; m:brand ?brand ; m:size ?size BIND(CONCAT(STR(?size), \":\", STR(?key)) AS ?label) } ORDER BY DESC(?size) ?key } GROUP BY ?brand",
+                                 "SELECT p_brand AS brand, string_agg(p_size || ':' || p_partkey, ',' ORDER BY p_size DESC, p_partkey) AS labels FROM part GROUP BY p_brand"),
 }
 
 
@@ -193,12 +217,88 @@ def catalog_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT nation, count(DISTINCT key) AS customers, count(v) AS points FROM customer_points WHERE v > 10 GROUP BY nation")
 
 
+def _nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/region.parquet")
+
+
+def _ask(graph: Graph, text: str, resources: tuple = (), **k) -> DataFrame:
+    return Engine(graph.spark, graph, resources, V, **k).query(PREFIXES + text)
+
+
+def _named(spark: SparkSession, sf_dir: str) -> Graph:
+    nation, region = _nations(spark, sf_dir)
+    name = IRI(M + "name")
+    nations = Graph(spark).map_table(TableMap(nation, f"{D}nation/", "n_nationkey", {name: Property("n_name"), IRI(M + "region"): Property("n_regionkey", f"{D}region/")}))
+    regions = Graph(spark).map_table(TableMap(region, f"{D}region/", "r_regionkey", {name: Property("r_name")}))
+    return Graph(spark).add_graph(IRI(M + "nations"), nations).add_graph(IRI(M + "regions"), regions)
+
+
+def named_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join over two named graphs."""
+    return _ask(_named(spark, sf_dir), "SELECT ?name ?region WHERE { GRAPH m:nations { ?n m:name ?name ; m:region ?r } GRAPH m:regions { ?r m:name ?region } }")
+
+
+def named_graph_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by the graph they are in."""
+    return _ask(_named(spark, sf_dir), "SELECT ?g (COUNT(?name) AS ?n) WHERE { GRAPH ?g { ?x m:name ?name } } GROUP BY ?g")
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations and regions, written as N-Triples and loaded again."""
+    nation, region = _nations(spark, sf_dir)
+    line = lambda s, k, p, o: F.concat(F.lit(f"<{D}{s}/"), F.col(k).cast("string"), F.lit(f"> <{M}{p}> "), o, F.lit(" ."))
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    lines = [nation.select(line("nation", "n_nationkey", "name", quoted("n_name"))), region.select(line("region", "r_regionkey", "name", F.concat(quoted("r_name"), F.lit("@en")))),
+             nation.select(line("nation", "n_nationkey", "key", F.concat(F.lit('"'), F.col("n_nationkey").cast("string"), F.lit('"^^<http://www.w3.org/2001/XMLSchema#integer>')))),
+             nation.select(line("nation", "n_nationkey", "within", F.concat(F.lit(f"<{D}region/"), F.col("n_regionkey").cast("string"), F.lit(">"))))]
+    path = scratch_path(nation)
+    functools.reduce(DataFrame.union, lines).write.text(path)
+    return Graph(spark).load_ntriples(path)
+
+
+def loaded_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern with typed and tagged literals over loaded triples."""
+    return _ask(_loaded(spark, sf_dir), "SELECT ?key ?name ?region ?l WHERE { ?n m:key ?key ; m:name ?name ; m:within ?r . ?r m:name ?tagged BIND(STR(?tagged) AS ?region) BIND(LANG(?tagged) AS ?l) FILTER(?key > 3) }")
+
+
+def loaded_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closure over loaded triples."""
+    return _ask(_loaded(spark, sf_dir), "SELECT ?key ?up WHERE { ?n m:key ?key ; m:within+ ?r . ?r m:name ?tagged BIND(STR(?tagged) AS ?up) }")
+
+
+def _turtle(spark: SparkSession) -> Graph:
+    return Graph(spark).load_turtle(f"""@prefix m: <{M}> . @prefix d: <{D}> . @prefix g: <{V.namespace}> .
+d:first a m:Sensor ; m:label "one", "uno" ; g:hasTimeseries [ g:hasExternalId 1 ; g:hasResource "events" ] .
+d:second a m:Sensor ; m:label "two" ; g:hasTimeseries [ g:hasExternalId 2 ; g:hasResource "events" ] .
+d:third a m:Sensor ; m:label "three" .
+""")
+
+
+def turtle_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loaded Turtle graph over a series whose store is asked for few ids; a function and an aggregate by IRI."""
+    from .sources.resource import series_template
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id AS id", "ts AS timestamp", "value")
+    resource = Resource("events", lambda ids: events if ids is None else events.where(F.col("id").isin([int(i) for i in ids])), series_template(V), push_ids=10)
+    text = f"SELECT ?label (COUNT(?v) AS ?n) (g:spread(?w) AS ?spread) WHERE {{ ?c a m:Sensor ; m:label ?label . {_POINT} BIND(g:half(?v) AS ?w) }} GROUP BY ?label"
+    return _ask(_turtle(spark), text, (resource,), functions={V.namespace + "half": lambda v: (v[0] / 2, v[1])}, aggregates={V.namespace + "spread": lambda c: F.max(c) - F.min(c)})
+
+
+EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "named_graph": (named_graph, "SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "named_graph_variable": (named_graph_variable, "SELECT '<urn:m:nations>' AS g, count(*) AS n FROM nation UNION ALL SELECT '<urn:m:regions>', count(*) FROM region"),
+    "loaded_triples": (loaded_triples, "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, r_name AS region, 'en' AS l FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 3"),
+    "loaded_path": (loaded_path, "SELECT CAST(n_nationkey AS BIGINT) AS key, r_name AS up FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "turtle_series": (turtle_series, "SELECT label, count(value) AS n, max(value / 2) - min(value / 2) AS spread FROM events JOIN (VALUES (1, 'one'), (1, 'uno'), (2, 'two')) v(id, label) ON user_id = id GROUP BY label"),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run(text) for name, (text, _) in CATALOG.items()} | {"catalog_view": catalog_view}
+    return {name: run(text) for name, (text, _) in CATALOG.items()} | {"catalog_view": catalog_view} | {name: f for name, (f, _) in EXTRA.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in CATALOG.items()} | {
+    return {name: sql for name, (_, sql) in (CATALOG | EXTRA).items()} | {
         "catalog_view": f"SELECT n_name AS nation, count(DISTINCT c.c_custkey) AS customers, count(e.value) AS points {_FROM} WHERE e.value > 10 GROUP BY n_name"}
 
 
