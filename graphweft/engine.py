@@ -26,7 +26,8 @@ class Mappings:
 
 
 class Engine:
-    """``functions``: IRI -> function of typed columns; ``aggregates``: name -> function of a column, for custom aggregates."""
+    """``functions``: IRI -> function of typed columns; ``aggregates``: IRI -> function of a column to an aggregated
+    column, or to that and its RDF type."""
 
     def __init__(self, spark: SparkSession, graph: Graph, resources: Iterable[Resource] = (), vocabulary: Vocabulary | None = None,
                  functions: dict[str, Callable] | None = None, aggregates: dict[str, Callable[[Column], Column]] | None = None):
@@ -47,7 +48,7 @@ class Engine:
         return self.resources[name]
 
     def _plan(self, text: str):
-        query = parse(text, self.vocabulary)
+        query = parse(text, self.vocabulary, frozenset(self.aggregates))
         planner = Planner(self.spark, self.graph, self.resources, self.vocabulary, self.functions, self.aggregates)
         return planner, planner.plan(query), tuple(A.in_scope(query))
 
@@ -62,7 +63,7 @@ class Engine:
         planner, sol, names = self._plan(text)
         df = planner.result(sol, names, True)
         plan = df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
-        return "\n".join([str(parse(text, self.vocabulary)), *planner.notes, plan])
+        return "\n".join([str(parse(text, self.vocabulary, frozenset(self.aggregates))), *planner.notes, plan])
 
 
 @dataclass

@@ -28,8 +28,10 @@ _WHOLE = (XSD.byte, XSD.short, XSD.int, XSD.long, XSD.integer)
 
 
 class Planner:
-    def __init__(self, spark: SparkSession, graph: Graph, resources: dict[str, Resource], vocabulary: Vocabulary, calls: dict, aggregates: dict[str, Callable]):
+    def __init__(self, spark: SparkSession, graph: Graph, resources: dict[str, Resource], vocabulary: Vocabulary, calls: dict, aggregates: dict[str, Callable],
+                 services: dict[str, Graph] | None = None):
         self.spark, self.graph, self.resources, self.vocabulary, self.calls, self.aggregates = spark, graph, resources, vocabulary, calls, aggregates
+        self.services = graph.services if services is None else services
         self.virtual = frozenset().union(*[r.template.predicates for r in resources.values()]) if resources else frozenset()
         self.notes: list[str] = []
         self._fresh = 0
@@ -55,6 +57,8 @@ class Planner:
                 return R.union(self.plan(a), self.plan(b))
             case A.Graph(name, inner):
                 return self.named_graph(name, inner)
+            case A.Service(name, inner, silent):
+                return self.service(name, inner, silent)
             case A.Extend(inner, var, e):
                 sol = self.plan(inner)
                 sol, marks = self.marked(sol, e)
@@ -105,9 +109,18 @@ class Planner:
             out = one if out is None else R.union(out, one)
         return out
 
+    def service(self, name, inner, silent: bool) -> Solution:
+        """A static pattern over a graph that the engine knows by the service's IRI. SILENT: an unknown service gives one empty solution."""
+        graph = self.services.get(name.value) if isinstance(name, IRI) else None
+        if graph is None:
+            if silent:
+                return self.unit()
+            raise UnsupportedQueryError(f"unknown service {name}")
+        return Planner(self.spark, graph, {}, self.vocabulary, self.calls, self.aggregates, self.services).plan(inner)
+
     def named_graph(self, name, inner) -> Solution:
         def under(graph: Graph) -> Solution:
-            return Planner(self.spark, graph, self.resources, self.vocabulary, self.calls, self.aggregates).plan(inner)
+            return Planner(self.spark, graph, self.resources, self.vocabulary, self.calls, self.aggregates, self.services).plan(inner)
         if isinstance(name, IRI):
             return under(self.graph.named.get(name.value, Graph(self.spark)))
         out = None
@@ -216,7 +229,8 @@ class Planner:
     def aggregate(self, agg: A.Aggregate, name: str, t, order: list[tuple[str, bool]]) -> tuple[Column, object]:
         c = F.col(name)
         if agg.name in self.aggregates:
-            return self.aggregates[agg.name](c), NESTED_TYPE
+            made = self.aggregates[agg.name](c)
+            return made if isinstance(made, tuple) else (made, NESTED_TYPE)
         if agg.name == "COUNT":
             return (F.count_distinct(c) if agg.distinct else F.count(c)), INTEGER
         if agg.name in ("SUM", "AVG"):

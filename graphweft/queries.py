@@ -13,7 +13,7 @@ from .engine import Catalog, DataProduct, Engine
 from .operators.scratch import scratch_path
 from .sources.graph import Graph, Property, TableMap
 from .sources.resource import ID, Parameter, Resource, Template, TripleTemplate, Vocabulary
-from .terms import IRI, Literal, Variable
+from .terms import DOUBLE, IRI, Literal, Variable
 
 M, D = "urn:m:", "urn:d:"
 V = Vocabulary()
@@ -243,6 +243,13 @@ def named_graph_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ask(_named(spark, sf_dir), "SELECT ?g (COUNT(?name) AS ?n) WHERE { GRAPH ?g { ?x m:name ?name } } GROUP BY ?g")
 
 
+def service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join with a graph that is known as a service."""
+    g = _named(spark, sf_dir)
+    g.named[M + "nations"].add_service(IRI(M + "regions"), g.named[M + "regions"])
+    return _ask(g.named[M + "nations"], "SELECT ?name ?region WHERE { ?n m:name ?name ; m:region ?r SERVICE m:regions { ?r m:name ?region } }")
+
+
 def _loaded(spark: SparkSession, sf_dir: str) -> Graph:
     """Nations and regions, written as N-Triples and loaded again."""
     nation, region = _nations(spark, sf_dir)
@@ -258,7 +265,7 @@ def _loaded(spark: SparkSession, sf_dir: str) -> Graph:
 
 def loaded_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pattern with typed and tagged literals over loaded triples."""
-    return _ask(_loaded(spark, sf_dir), "SELECT ?key ?name ?region ?l WHERE { ?n m:key ?key ; m:name ?name ; m:within ?r . ?r m:name ?tagged BIND(STR(?tagged) AS ?region) BIND(LANG(?tagged) AS ?l) FILTER(?key > 3) }")
+    return _ask(_loaded(spark, sf_dir), "SELECT ?key ?name ?region ?l WHERE { ?n m:key ?key ; m:name ?n1 BIND(STR(?n1) AS ?name) ?n m:within ?r . ?r m:name ?tagged BIND(STR(?tagged) AS ?region) BIND(LANG(?tagged) AS ?l) FILTER(?key > 3) }")
 
 
 def loaded_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,11 +288,12 @@ def turtle_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id AS id", "ts AS timestamp", "value")
     resource = Resource("events", lambda ids: events if ids is None else events.where(F.col("id").isin([int(i) for i in ids])), series_template(V), push_ids=10)
     text = f"SELECT ?label (COUNT(?v) AS ?n) (g:spread(?w) AS ?spread) WHERE {{ ?c a m:Sensor ; m:label ?label . {_POINT} BIND(g:half(?v) AS ?w) }} GROUP BY ?label"
-    return _ask(_turtle(spark), text, (resource,), functions={V.namespace + "half": lambda v: (v[0] / 2, v[1])}, aggregates={V.namespace + "spread": lambda c: F.max(c) - F.min(c)})
+    return _ask(_turtle(spark), text, (resource,), functions={V.namespace + "half": lambda v: (v[0] / 2, v[1])}, aggregates={V.namespace + "spread": lambda c: (F.max(c) - F.min(c), DOUBLE)})
 
 
 EXTRA: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "named_graph": (named_graph, "SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "service": (service, "SELECT n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "named_graph_variable": (named_graph_variable, "SELECT '<urn:m:nations>' AS g, count(*) AS n FROM nation UNION ALL SELECT '<urn:m:regions>', count(*) FROM region"),
     "loaded_triples": (loaded_triples, "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, r_name AS region, 'en' AS l FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey > 3"),
     "loaded_path": (loaded_path, "SELECT CAST(n_nationkey AS BIGINT) AS key, r_name AS up FROM nation JOIN region ON n_regionkey = r_regionkey"),

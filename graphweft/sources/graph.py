@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,10 +89,10 @@ class Edge:
 
 
 class Graph:
-    """Mapped tables and triples. ``named``: graphs by IRI, for GRAPH patterns."""
+    """Mapped tables and triples. ``named``: graphs by IRI, for GRAPH patterns; ``services``: graphs by IRI, for SERVICE patterns."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.tables, self.named = spark, [], {}
+        self.spark, self.tables, self.named, self.services = spark, [], {}, {}
         self.triples: DataFrame | None = None
         self._kinds: dict[str, list[tuple[str, str, str | None, bool]]] = {}
 
@@ -105,6 +104,17 @@ class Graph:
         self.named[name.value] = graph
         return self
 
+    def add_service(self, name: IRI, graph: Graph) -> Graph:
+        self.services[name.value] = graph
+        return self
+
+    def load_endpoint(self, url: str, predicates: list[str] | None = None, **options) -> Graph:
+        """Read an endpoint's triples, of all predicates or those named, in pages and in parallel (:func:`graphweft.sources.endpoint.triples`)."""
+        from ..operators.scratch import stored
+        from .endpoint import triples
+
+        return self.add_triples(stored(triples(self.spark, url, predicates, **options), "p"))
+
     def add_triples(self, df: DataFrame) -> Graph:
         """Add a DataFrame with the columns of TRIPLES. The kinds of each predicate's terms are looked up once: that many rows
         come to the driver, no triples."""
@@ -155,17 +165,18 @@ class Graph:
         """Parse Turtle text on the driver (for small graphs; N-Triples are read in parallel)."""
         from ..sparql.parser import Parser
 
-        text = re.sub(r"@(prefix|base)\b([^\n]*?)\.\s*(?=\n|$)", r"\1\2", text)
         p = Parser(text)
         out: list = []
         while p.kind() != "end":
-            while word := p.accept("PREFIX", "BASE"):
-                if word == "BASE":
+            while (at := p.text_at(0)) in ("@prefix", "@base") or at.upper() in ("PREFIX", "BASE"):
+                p.next()
+                if at.upper().endswith("BASE"):
                     p.base = p.next()[1][1:-1]
                 else:
                     name = p.next()[1][:-1]
                     p.prefixes[name] = p.next()[1][1:-1]
-                p.accept(".")
+                if at.startswith("@"):
+                    p.expect(".")
             if p.kind() == "end":
                 break
             s = p.node(out)

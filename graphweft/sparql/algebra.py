@@ -100,6 +100,13 @@ class Graph:
     inner: object
 
 
+@dataclass(frozen=True)
+class Service:
+    name: IRI | Variable
+    inner: object
+    silent: bool
+
+
 @dataclass(frozen=True)
 class Extend:
     inner: object
@@ -168,6 +175,8 @@ def in_scope(p: object) -> list[str]:
             names = in_scope(inner)
         case Graph(name, inner):
             names = ([name.name] if isinstance(name, Variable) else []) + in_scope(inner)
+        case Service(_, inner, _):
+            names = in_scope(inner)
         case Extend(inner, var, _):
             names = [*in_scope(inner), var]
         case Values(vs, _):

@@ -143,3 +143,7 @@ class UnknownResourceError(ConfigError):
 
 class ResourceSchemaError(ConfigError):
     """A resource lacks a column that its template names."""
+
+
+class EndpointError(RuntimeError):
+    """A remote endpoint failed, or its answer isn't a table of solutions."""
