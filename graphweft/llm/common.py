@@ -95,6 +95,15 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Rows of a few numbers that a part file may have at least; less isn't worth a task, a file and, on a local disk, the processes that set its mode.
+FILE_ROWS = 100_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows of a few numbers, in no more partitions than that is worth, where Spark doesn't merge small ones."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that ``df`` doesn't have, compared without case as Spark does."""
     have, out = {c.lower() for c in df.columns}, []
@@ -124,6 +133,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     spark, old, new = edges.sparkSession, [], []
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), old)
+    most = e.count()  # no round has more edges than the one before
     for _ in range(max_rounds):
         # Large star: neighbours above the node move to the least of the node and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -132,7 +142,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         # Small star: neighbours below the node, and the node, move to the least of them.
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         low = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(low.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), new)
+        e = written(few_files(low.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), most), new)
         dropped(spark, old)
         old, new = new, []
         # Of each node: how many centres it has, and whether it is a centre.

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from .common import batch_bytes, col, connected_components, dropped, fresh, sliced, small, table, written
+from .common import batch_bytes, col, connected_components, dropped, few_files, fresh, sliced, small, table, written
 from .shingles import exact_set, mix, shingle_sets
 
 #: A shingle in more than FREQUENT documents is frequent; at most MAX_FREQUENT of them are told to the tasks.
@@ -474,6 +474,8 @@ def _across(members: DataFrame, parities: DataFrame, scratch: list[str]) -> Data
     sizes = sizes.groupBy("family").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("k"))
     parts = lambda k: F.ceil(k / BLOCK).cast("int")
     sizes = sizes.select("family", F.col("top.comp").alias("largest"), parts(F.col("k")).alias("blocks"), F.greatest(F.lit(1), parts(F.col("k") - F.col("top.k"))).alias("parties"))
+    # Written before the join, which would else take the aggregate's dealing by family and put all rows of a large family into one task.
+    sizes = small(written(few_files(sizes, rows.count()), scratch))
     rows = written(rows.join(sizes, "family").withColumn("main", F.col("comp") == F.col("largest")), scratch)
     rows = parities.join(small(rows), "rep")
     spread = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")

@@ -11,7 +11,7 @@ import pytest
 from helpers import DOCS, components, docs, empty, key, repeated_words, rows, sentence, shingles, words
 from test_native import plain_targets
 
-from graphweft.llm import jaccard_join, pieces, pii
+from graphweft.llm import common, jaccard_join, pieces, pii
 from graphweft.llm.shingles import exact_set, shingle_sets
 
 ALL = rows()
@@ -118,6 +118,41 @@ def test_components_of_a_family_of_near_copies(spark, monkeypatch):
     assert got == dict(zip([k for k, _ in made], components(made)[0], strict=True))
 
 
+@pytest.mark.parametrize(("file_rows", "files"), [(100_000, 1), (20, 3)])
+def test_components_of_few_edges_are_few_files(spark, monkeypatch, file_rows, files):
+    monkeypatch.setattr(common, "FILE_ROWS", file_rows, raising=False)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(0, 60) if k % 20 < 18] + [(5, 0)], "a bigint, b bigint")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = common.connected_components(edges, "a", "b")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.node, r.component) for r in out.collect()} == {(k, k // 20 * 20) for k in range(60) if k % 20 < 19}
+    assert len(out.inputFiles()) <= files
+
+
+@pytest.mark.parametrize("broadcast_rows", [400_000, 0])
+def test_a_large_family_is_not_dealt_to_one_task(spark, monkeypatch, broadcast_rows):
+    """Its rows meet their family's sizes by broadcast, or in a join without the aggregate, which Spark can split."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    plans, write = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, owner=None: (plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())), write(df, owner))[1])
+    n, par = 200, b"\0" * 8
+    members = write(spark.createDataFrame([(1, k, 10, 0 if k < 150 else k) for k in range(n)] + [(2, 500 + k, 10, k) for k in range(2)], "run bigint, rep bigint, n bigint, comp bigint"))
+    parities = write(spark.createDataFrame([(k, par) for k in [*range(n), 500, 501]], "rep bigint, par binary"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = sorted(map(tuple, jaccard_join._across(members, parities, []).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(a, b) for a in range(n) for b in range(max(a + 1, 150), n)] + [(500, 501)]
+    (plan,) = [p for columns, p in plans if "main" in columns]
+    assert "Join" in plan and "Aggregate" not in plan
+    assert ("hashpartitioning(family" in plan) == (not broadcast_rows)
+
+
 def test_one_of_each_group_stays(spark):
     out = jaccard_join.without_near_duplicates(docs(spark))
     assert out.schema == DOCS
