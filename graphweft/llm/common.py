@@ -76,9 +76,10 @@ def batch_bytes(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: int, rows: int = 256, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """The batches cut into parts of at most ``rows`` rows and about ``size`` bytes of the string ``column``; a longer text is a part of its own."""
+    """The batches cut into parts of at most ``rows`` rows and about ``size`` bytes of the string ``column``, or items of a list; a longer text is a part of its own."""
     for batch in batches:
-        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        measure = pc.list_value_length if pa.types.is_list(batch.column(column).type) else pc.binary_length
+        lengths = pc.fill_null(measure(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         upto, at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), 0
         while at < batch.num_rows:
             end = min(at + rows, max(at + 1, int(np.searchsorted(upto, upto[at] + size, "right")) - 1), batch.num_rows)

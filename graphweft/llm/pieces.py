@@ -1,18 +1,20 @@
 """SentencePiece encoding and decoding in batched numpy.
 
-Texts are cut into chunks no piece crosses (a piece has the space mark only in front), distinct chunks are encoded once per
-task, and chunks of equal length advance together. All substrings up to the longest piece are hashed by one recurrence over
-the batch; the hashes probe the sorted hashes of the pieces, and every hit is compared character by character.
+Texts are cut into chunks no piece crosses (a piece has the space mark only in front), by masks over the bytes of a part of the
+column; Arrow numbers the part's distinct chunks, which are encoded once per part, and chunks of about equal length advance
+together, padded to one width. From every start, substrings are hashed by one recurrence over the batch for as long as a piece
+begins so; the hashes probe those of all that pieces begin with, and every piece hit is compared character by character.
 
 * Unigram models: Viterbi. For each end position the best score over the piece lengths is a vectorised maximum, and its
   argument is the backpointer; a character that no piece covers is an unknown, scored below the least piece.
-* BPE models: a Viterbi maximum of their scores isn't their segmentation (the scores are merge ranks), so chunks of equal
-  length run their merges together instead: the best adjacent pair of each chunk is a vectorised maximum, leftmost on ties.
+* BPE models: a Viterbi maximum of their scores isn't their segmentation (the scores are merge ranks), so chunks of one
+  width run their merges together instead: the best adjacent pair of each chunk is a vectorised maximum, leftmost on ties.
 
 Characters outside the vocabulary become byte pieces where the model has them, else the unknown piece. Decoding joins pieces,
 turns byte runs into UTF-8 (U+FFFD where they aren't), and drops the dummy space; encoding a text and decoding it gives the
-text back unless it holds the space mark U+2581 itself or a normaliser changed it. Models with a normaliser other than
-identity are refused.
+text back unless it holds the space mark U+2581 itself or a normaliser changed it. Columns of ids are decoded by one take of the
+pieces' bytes; rows with control pieces or malformed byte runs go piece by piece. Models with a normaliser other than identity
+are refused.
 
 The model file is read on the driver, once; its pieces (bounded by the vocabulary) travel with the tasks. The path is a
 parameter.
@@ -27,10 +29,11 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -38,10 +41,17 @@ from .common import col, fresh, sliced, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Chunks beyond this length are merged one by one; distinct chunks kept per task.
-LONG_CHUNK, CACHE = 96, 400_000
+#: Chunks beyond this length are merged one by one.
+LONG_CHUNK = 96
+#: Shorter chunks are padded to the next of these widths; longer ones are batched by their own length.
+WIDTHS = (4, 7, 9, 11, 13, 16, 20, 26, 34)
+#: Places of a batch of chunks: of the table of all substrings for Viterbi, of the chunks themselves for merges; positions of a long chunk whose pieces are looked up together.
+TABLE, MERGES, BLOCK = 400_000, 100_000, 1 << 14
+#: Rows, and bytes of text or ids, that are encoded or decoded together.
+PART_ROWS, PART_BYTES, PART_IDS = 4096, 1 << 22, 1 << 20
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_PAD = np.uint32(0xFFFFFFFF)
 
 
 class Pieces:
@@ -55,6 +65,7 @@ class Pieces:
         self.unknown = next((i for i, (_, _, t) in enumerate(pieces) if t == _UNKNOWN), 0)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == _BYTE}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
+        self.byte_piece = np.array([self.byte_ids.get(b, self.unknown) for b in range(256)], np.int32)
         self.silent = {i for i, (_, _, t) in enumerate(pieces) if t == _CONTROL}
         # Ids whose text stands by itself: pieces, and bytes of ASCII; the others are decoded in their runs.
         self.high = {i for i, b in self.byte_of.items() if b >= 128} | self.silent | {self.unknown}
@@ -62,20 +73,23 @@ class Pieces:
         self.longest = max(map(len, self.ids), default=1)
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces with an inner space mark aren't supported")
-        members = sorted(self.ids.items(), key=lambda x: x[1])
-        codes = np.zeros((len(members), self.longest), np.uint32)
-        for k, (p, _) in enumerate(members):
-            codes[k, :len(p)] = [ord(c) for c in p]
-        keys = np.zeros(len(members), np.uint64)
+        # All that pieces begin with, by hash: the piece's id, or -1 where none ends. By the top bits of the mixed hash: whether there
+        # is a key, and the first of those keys.
+        known = list(dict.fromkeys(p[:k] for p in self.ids for k in range(1, len(p) + 1)))
+        sizes = np.array([len(p) for p in known], np.int64)
+        codes = np.zeros((len(known), self.longest), np.uint32)
+        codes[np.arange(self.longest) < sizes[:, None]] = np.frombuffer("".join(known).encode("utf-32-le", "surrogatepass"), np.uint32)
+        keys = np.zeros(len(known), np.uint64)
         for k in range(self.longest):
-            here = codes[:, k] > 0
+            here = sizes > k
             keys[here] = keys[here] * _BASE + codes[here, k].astype(np.uint64) + np.uint64(1)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.codes, self.by_key = keys[order], codes[order], np.array([i for _, i in members], np.int32)[order]
+        order = np.argsort(keys * _MIX, kind="stable")
+        self.keys, self.codes, self.by_key = keys[order], codes[order], np.array([self.ids.get(p, -1) for p in known], np.int32)[order]
         if len(self.keys) > 1 and (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
-        self.seen = np.zeros(1 << 20, bool)  # by the top bits of the hash: rejects most substrings before the search
-        self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        top, first, times = np.unique(_top(self.keys), return_index=True, return_counts=True)
+        self.seen, self.slot, self.alike = np.zeros(1 << 20, bool), np.zeros(1 << 20, np.int32), int(times.max(initial=1))
+        self.seen[top], self.slot[top] = True, first
         rank = np.unique(-self.scores, return_inverse=True)[1]
         self.priority = (rank.max(initial=0) + 1 - rank).astype(np.int32)  # higher merges first; 0 is no pair
         self._pair_table()
@@ -84,7 +98,8 @@ class Pieces:
         cut = re.escape(self.alone)
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}{cut}]+|{SPACE}+" + (f"|[{cut}]" if cut else ""))
         self.least = float(self.scores.min()) - 10.0 if len(self.scores) else -10.0
-        self._forget()
+        self.scores32 = np.append(self.scores, -np.inf).astype(np.float32)  # -1, no piece, is at the end
+        self._text_table()
 
     @classmethod
     def load(cls, path: str = MODEL_PATH, viterbi: bool = False) -> Pieces:
@@ -109,43 +124,54 @@ class Pieces:
             pieces = [(p, -float(np.log(low - s + 2) + total) if t == _NORMAL else 0.0, t) for p, s, t in pieces]
         return cls(pieces, unigram or viterbi, norm.add_dummy_prefix)
 
-    def _table(self, codes: np.ndarray) -> np.ndarray:
-        """For chunks of equal length as rows: the piece id of [i, i + k + 1) at [row, i, k], or -1."""
+    def _hits(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For chunks of one width as rows: the pieces of k + 1 characters as (k, rows, starts, ids), for each k; a start is left as soon as no piece begins so."""
+        if not len(self.keys):
+            return
         n, size = codes.shape
-        found = np.full((n, size, min(self.longest, size)), -1, np.int32)
-        h = np.zeros((n, size), np.uint64)
-        for k in range(found.shape[2]):
-            width = size - k
-            h = h[:, :width] * _BASE + codes[:, k:].astype(np.uint64) + np.uint64(1)
-            rows, starts = np.nonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)])
-            probe = h[rows, starts]
-            which = np.minimum(np.searchsorted(self.keys, probe), len(self.keys) - 1)
-            same = self.keys[which] == probe
-            rows, starts, which = rows[same], starts[same], which[same]
-            same = np.ones(len(rows), bool)
+        line = np.append(codes, np.full((n, 1), _PAD), 1).ravel()  # no piece has the padding behind a row
+        at = np.flatnonzero(line != _PAD)
+        h = np.zeros(len(at), np.uint64)
+        for k in range(self.longest):
+            h = h * _BASE + line[at + k].astype(np.uint64) + np.uint64(1)
+            top = _top(h)
+            here = np.flatnonzero(self.seen[top])
+            at, h, which = at[here], h[here], self.slot[top[here]]
+            same = self.keys[which] == h
+            for _ in range(self.alike - 1):
+                which = np.where(same, which, np.minimum(which + 1, len(self.keys) - 1))
+                same = self.keys[which] == h
+            at, h, which = at[same], h[same], which[same]
+            if not len(at):
+                return
+            ids = self.by_key[which]
+            same = ids >= 0
             for j in range(k + 1):
-                same &= self.codes[which, j] == codes[rows, starts + j]
-            if k + 1 < self.longest:
-                same &= self.codes[which, k + 1] == 0
-            found[rows[same], starts[same], k] = self.by_key[which[same]]
-        return found
-
-    def _viterbi(self, codes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Start of the piece that ends at each position, by row; best total score, the longest piece on ties."""
+                same &= self.codes[which, j] == line[at + j]
+            yield k, *np.divmod(at[same], size + 1), ids[same]
+
+    def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and id of the piece that ends at each position, by row; best total score, the longest piece on ties."""
         n, size = codes.shape
-        best = np.full((n, size + 1), -np.inf, np.float32)
-        best[:, 0] = 0
-        back = np.zeros((n, size + 1), np.int32)
-        for end in range(1, size + 1):
-            reach = min(end, ids.shape[2])
-            options = np.full((n, reach), -np.inf, np.float32)
-            for k in range(reach - 1, -1, -1):
-                piece = ids[:, end - k - 1, k]
-                score = np.where(piece >= 0, self.scores[piece], self.least if k == 0 else -np.inf).astype(np.float32)
-                options[:, reach - 1 - k] = best[:, end - k - 1] + score
-            pick = options.argmax(1)
-            best[:, end], back[:, end] = options[np.arange(n), pick], end - reach + pick
-        return back
+        reach = min(self.longest, size)
+        best = np.full((n, reach + size + 1), -np.inf, np.float32)  # behind so many columns that every end has all lengths
+        best[:, reach] = 0
+        back, made, rows = np.zeros((n, size + 1), np.int32), np.full((n, size + 1), -1, np.int32), np.arange(n)
+        block = max(BLOCK, self.longest)
+        for a in range(0, size, block):
+            b, s = min(a + block, size), max(0, a - reach + 1)
+            ending = np.full((b - a, n, reach), -1, np.int32)  # by end, the longest first
+            for k, row, start, ids in self._hits(codes[:, s:b]):
+                end = start + (s + k - a)
+                here = end >= 0
+                ending[end[here], row[here], reach - 1 - k] = ids[here]
+            scores = self.scores32[ending]
+            scores[:, :, -1] = np.where(ending[:, :, -1] >= 0, scores[:, :, -1], np.float32(self.least))
+            for end in range(a + 1, b + 1):
+                options = best[:, end:end + reach] + scores[end - a - 1]
+                pick = options.argmax(1)
+                best[:, end + reach], back[:, end], made[:, end] = options[rows, pick], end - reach + pick, ending[end - a - 1, rows, pick]
+        return back, made
 
     def _pair_table(self) -> None:
         """Every way to cut a piece into two pieces, as an open-addressing table from (left id, right id) to the piece's id."""
@@ -189,7 +215,8 @@ class Pieces:
         """Per row after all merges: piece starts, and the id at each start. A linked list of symbols, and the id and priority of
         the pair at each start, all rows merging their best pair together."""
         n, size = codes.shape
-        sym = self.char_ids[codes].ravel()
+        pad = codes == _PAD
+        sym = np.where(pad, -1, self.char_ids[np.where(pad, 0, codes)]).ravel()
         starts = np.ones(n * size, bool)
         if size > 1:
             end = np.arange(1, n * size + 1)  # where the symbol behind starts, over all rows in one line
@@ -239,71 +266,78 @@ class Pieces:
             offer(i)
         return [p for p in parts if p]
 
-    def _ids(self, parts: list[str]) -> array:
-        out = array("i")
-        for p in parts:
-            k = self.ids.get(p)
-            if k is not None:
-                out.append(k)
-            elif self.byte_ids:
-                out.extend(self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass"))
-            elif not (self.unigram and out and out[-1] == self.unknown):
-                out.append(self.unknown)
-        return out
-
-    def _store(self, chunk: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        """Append encoded chunks: the dictionary holds row numbers of ``first`` and ``count``, which point into ``flat``."""
-        for name, more in (("flat", ids), ("first", self.used[0] + np.cumsum(lengths) - lengths), ("count", lengths)):
-            old, k = getattr(self, name), self.used[0] if name == "flat" else self.used[1]
-            if k + len(more) > len(old):
-                old = np.concatenate([old[:k], np.zeros(max(len(old), len(more), 1024), old.dtype)])
-                setattr(self, name, old)
-            old[k:k + len(more)] = more
-        self.cache.update(zip(chunk, range(self.used[1], self.used[1] + len(chunk)), strict=True))
-        self.used = [self.used[0] + len(ids), self.used[1] + len(chunk)]
-
-    def _forget(self) -> None:
-        self.cache: dict[str, int] = {}
-        self.flat, self.first, self.count, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), [0, 0]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode chunks that aren't known yet into the cache, batch by batch of equal length."""
-        by_size: dict[int, list[str]] = {}
-        for c in chunks:
-            if len(c) > LONG_CHUNK and not self.unigram:
-                one = np.array(self._ids(self._merge_long(c)), np.int32)
-                self._store([c], np.array([len(one)]), one)
-            else:
-                by_size.setdefault(len(c), []).append(c)
-        for size, group in by_size.items():
-            step = max(1, 400_000 // (size * min(size, self.longest)))
-            for at in range(0, len(group), step):
-                batch = group[at:at + step]
-                codes = np.frombuffer("".join(batch).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(batch), size)
-                if self.unigram:
-                    ids = self._table(codes)
-                    starts = self._cuts(self._viterbi(codes, ids))
+    def _bytes(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The byte pieces of characters behind one another, and how many each has."""
+        size = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        which = np.repeat(np.arange(len(code)), size)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+        length = size[which]
+        bits = code[which] >> (6 * (length - 1 - at)).astype(code.dtype)
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[length]
+        return self.byte_piece[np.where(length == 1, bits, np.where(at == 0, lead | bits, 0x80 | bits & 0x3F)).astype(np.int64)], size
+
+    def _filled(self, found: np.ndarray, rows: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and rows with byte pieces or the unknown piece in place of -1, which is always one character; ``code``: the first of each piece."""
+        none = found < 0
+        if not none.any():
+            return found, rows
+        if not self.byte_ids:
+            keep = ~(none & np.append(False, none[:-1] & (rows[1:] == rows[:-1]))) if self.unigram else np.ones(len(none), bool)
+            return np.where(none, self.unknown, found)[keep], rows[keep]
+        spelt, sizes = self._bytes(code[none])
+        counts = np.ones(len(found), np.int64)
+        counts[none] = sizes
+        out = np.repeat(found, counts)
+        out[np.repeat(none, counts)] = spelt
+        return out, np.repeat(rows, counts)
+
+    def _spell(self, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Encode chunks, of ``sizes`` characters behind one another, batch by batch of one width: ids, and of each chunk where its ids begin and how many they are."""
+        begins = np.cumsum(sizes) - sizes
+        flat, used, first, count = [], 0, np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        width = np.where(sizes <= WIDTHS[-1], np.array(WIDTHS)[np.minimum(np.searchsorted(WIDTHS, sizes), len(WIDTHS) - 1)], sizes)
+        order = np.argsort(width, kind="stable")
+        bounds = [0, *(np.flatnonzero(np.diff(width[order])) + 1).tolist(), len(order)] if len(order) else []
+        for a, b in itertools.pairwise(bounds):
+            size = int(width[order[a]])
+            alone = size > LONG_CHUNK and not self.unigram
+            step = 1 if alone else max(1, TABLE // (size * min(size, self.longest)) if self.unigram else MERGES // size)
+            for at in range(a, b, step):
+                batch = order[at:min(at + step, b)]
+                if alone:
+                    code = chars[begins[batch[0]]:begins[batch[0]] + size]
+                    parts = self._merge_long(code.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass"))
+                    found = np.array([self.ids.get(p, -1) for p in parts], np.int32)
+                    rows, code = np.zeros(len(parts), np.int64), np.array([ord(p[0]) for p in parts], np.uint32)
                 else:
-                    starts, sym = self._merged(codes)
-                rows, places = np.nonzero(starts)
-                ends = np.append(places[1:], size)
-                ends[np.append(rows[1:] != rows[:-1], True)] = size
-                span = ends - places
-                found = sym[rows, places] if not self.unigram else np.where(span <= ids.shape[2], ids[rows, places, np.minimum(span, ids.shape[2]) - 1], -1)
-                odd = np.zeros(len(batch), bool)
-                odd[rows[found < 0]] = True
-                regular = ~odd[rows]
-                self._store([c for c, o in zip(batch, odd.tolist(), strict=True) if not o], np.bincount(rows, minlength=len(batch))[~odd], found[regular])
-                for k in np.nonzero(odd)[0]:  # with characters outside the vocabulary
-                    cuts = [*places[rows == k].tolist(), size]
-                    one = np.array(self._ids([batch[k][a:b] for a, b in zip(cuts, cuts[1:])]), np.int32)
-                    self._store([batch[k]], np.array([len(one)]), one)
+                    found, rows, code = self._batch(chars, begins[batch], sizes[batch], size)
+                found, rows = self._filled(found, rows, code)
+                count[batch] = lengths = np.bincount(rows, minlength=len(batch))
+                first[batch] = used + np.cumsum(lengths) - lengths
+                flat.append(found)
+                used += len(found)
+        return np.concatenate([np.zeros(0, np.int32), *flat]), first, count
+
+    def _batch(self, chars: np.ndarray, begins: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces of chunks padded to ``size``: id or -1, row, and first character of each."""
+        within = np.arange(size) < sizes[:, None]
+        codes = np.where(within, chars[np.minimum(begins[:, None] + np.arange(size), len(chars) - 1)], _PAD)
+        if self.unigram:
+            back, made = self._viterbi(codes)
+            starts = self._cuts(back, sizes)
+        else:
+            starts, sym = self._merged(codes)
+        rows, places = np.nonzero(starts & within)
+        ends = np.append(places[1:], 0)
+        last = np.append(rows[1:] != rows[:-1], True)
+        ends[last] = sizes[rows[last]]
+        return made[rows, ends] if self.unigram else sym[rows, places], rows, codes[rows, places]
 
     @staticmethod
-    def _cuts(back: np.ndarray) -> np.ndarray:
-        """Piece starts from backpointers, all rows together."""
+    def _cuts(back: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Piece starts from backpointers, from each row's end, all rows together."""
         n, size = back.shape[0], back.shape[1] - 1
-        starts, end, rows = np.zeros((n, size), bool), np.full(n, size), np.arange(n)
+        starts, end, rows = np.zeros((n, size), bool), sizes, np.arange(n)
         while len(rows):
             end = back[rows, end]
             starts[rows, end] = True
@@ -315,22 +349,69 @@ class Pieces:
             return []
         return self.chunk.findall((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE))
 
-    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
-        """All ids behind one another, and where each text's ids end."""
-        cut = [self.chunks(t) if t else [] for t in texts]
-        if len(self.cache) > CACHE:
-            self._forget()
-        self.learn(set().union(*cut) - self.cache.keys())
-        known = np.fromiter(map(self.cache.__getitem__, itertools.chain.from_iterable(cut)), np.int64)
-        counts = self.count[known]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.first[known] - (ends - counts), counts) + np.arange(total)]
-        upto = np.cumsum([len(c) for c in cut])
-        return ids, np.append(0, ends)[upto].tolist()
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a string column behind one another, and where each text's ids end; a null has none."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if pc.any(pc.match_substring(texts, SPACE)).as_py():
+            texts = pc.replace_substring(texts, SPACE, " ")  # a space becomes the mark, so they are one character
+        if self.dummy_prefix:
+            texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(" ", texts, ""))
+        offsets, data = _buffers(texts)
+        blank, cut = data == 32, np.zeros(len(data), bool)
+        for c in self.alone:
+            cut |= data == ord(c)
+        begins = cut.copy()
+        begins[1:] |= cut[:-1] | (blank[1:] & ~blank[:-1])
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        places = np.append(np.flatnonzero(begins), len(data)).astype(np.int32)
+        chunks = pa.StringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(data)).dictionary_encode()
+        plain = _buffers(chunks.dictionary)[1].tobytes().decode().encode("utf-32-le")
+        chars = np.frombuffer(plain, np.uint32)
+        flat, first, count = self._spell(np.where(chars == 32, np.uint32(ord(SPACE)), chars), pc.utf8_length(chunks.dictionary).to_numpy().astype(np.int64))
+        known = chunks.indices.to_numpy()
+        counts = count[known]
+        upto = np.append(0, np.cumsum(counts))
+        ids = flat[np.repeat(first[known] - upto[:-1], counts) + np.arange(upto[-1])]
+        return ids, upto[np.searchsorted(places, offsets[1:])]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0].tolist()
+        cut = self.chunks(text)
+        flat, first, count = self._spell(np.frombuffer("".join(cut).encode("utf-32-le", "surrogatepass"), np.uint32), np.array([len(c) for c in cut], np.int64))
+        return [i for a, n in zip(first.tolist(), count.tolist(), strict=True) for i in flat[a:a + n].tolist()]
+
+    def _text_table(self) -> None:
+        """The bytes of each id, and behind them those it has at the front of a text, where the dummy space goes."""
+        plain = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.silent else p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for i, p in enumerate(self.names)]
+        if not self.byte_ids and plain:
+            plain[self.unknown] = " ⁇ ".encode()
+        self.texts = pa.array(plain + [p[1:] if self.dummy_prefix and p.startswith(b" ") else p for p in plain], pa.binary())
+        self.is_silent, self.is_high = np.zeros(len(plain), bool), np.zeros(len(plain), bool)
+        self.is_silent[list(self.silent)] = True
+        self.is_high[[i for i, b in self.byte_of.items() if b >= 128]] = True
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """A string column of the texts whose ids lie behind one another and end at ``ends``."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.names):
+            raise ValueError("a piece id outside the vocabulary")
+        bounds = np.append(0, ends)
+        front = bounds[:-1][bounds[:-1] < bounds[1:]]
+        taken = np.array(ids, np.int32)
+        taken[front] += len(self.names)
+        spelt, data = _buffers(self.texts.take(pa.array(taken)))
+        offsets = spelt[bounds]
+        out = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data))
+        odd = self.is_silent[ids]
+        if (high := self.is_high[ids]).any():
+            raw = data.tobytes()
+            inner = data[spelt[front]] & 0xC0 == 0x80  # a text that begins within a character
+            if inner.any() or SPACE.encode() in raw or not _is_utf8(raw):
+                odd = odd | high
+        if odd.any():
+            slow = np.unique(np.searchsorted(ends, np.flatnonzero(odd), "right"))
+            mask = np.zeros(len(ends), bool)
+            mask[slow] = True
+            out = pc.replace_with_mask(out, pa.array(mask), pa.array([self.decode(ids[bounds[k]:bounds[k + 1]].tolist()) for k in slow.tolist()], pa.string()))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         if self.high.isdisjoint(ids):
@@ -355,6 +436,26 @@ class Pieces:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
+def _top(keys: np.ndarray) -> np.ndarray:
+    """Hashes mixed once more, as those of one character have no high bits; the upper 20 bits."""
+    return (keys * _MIX >> np.uint64(44)).view(np.int64)
+
+
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0, and bytes, of a string or binary column."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset:column.offset + len(column) + 1] if offsets else np.zeros(1, np.int32)
+    return at - at[0], np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data else np.zeros(0, np.uint8)
+
+
+def _is_utf8(raw: bytes) -> bool:
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 def _utf8(raw: bytearray) -> str:
     """Bytes as text, with one U+FFFD for each byte outside well-formed characters."""
     try:
@@ -386,15 +487,14 @@ def tokenised(docs: DataFrame, model_path: str = MODEL_PATH, text_col: str = "te
         schema = schema.add(name, T._parse_datatype_string(kind))
 
     def run(batches):
-        for part in sliced(batches, len(kept)):
-            texts = part.column(part.num_columns - 1).to_pylist()
+        for part in sliced(batches, len(kept), PART_ROWS, PART_BYTES):
+            texts = part.column(part.num_columns - 1)
             ids, ends = model.encode_all(texts)
-            starts = [0, *ends[:-1]]
-            offsets = pa.array([None if t is None else a for t, a in zip(texts, starts, strict=True)] + [ends[-1]], pa.int32())
-            out = [pa.array([b - a for a, b in zip(starts, ends, strict=True)], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
+            bounds, null = np.append(0, ends).astype(np.int32), texts.is_null()
+            lists = pa.ListArray.from_arrays(pa.array(bounds, mask=np.append(null.to_numpy(zero_copy_only=False), False)), pa.array(ids, pa.int32()))
+            out = [pa.array(np.diff(bounds), pa.int64()), lists]
             if round_trip:
-                plain = ids.tolist()
-                out.append(pa.array([None if t is None else model.decode(plain[a:b]) == t for t, a, b in zip(texts, starts, ends, strict=True)], pa.bool_()))
+                out.append(pc.equal(model.decode_all(ids, ends), texts.cast(pa.string())))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *out], names=[*kept, *names])
 
     return docs.select(*[col(c) for c in kept], col(text_col).alias(text)).mapInArrow(run, schema)
@@ -409,11 +509,14 @@ def decoded(rows: DataFrame, model_path: str = MODEL_PATH, ids_col: str = "ids",
     schema = rows.select(*[col(c) for c in kept]).schema.add(name, T.StringType())
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                texts = [None if x is None else model.decode(x) for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*kept, name])
+        for part in sliced(batches, len(kept), PART_ROWS, PART_IDS):
+            column = part.column(part.num_columns - 1)
+            values = column.flatten()
+            if values.null_count:
+                raise ValueError("a piece id is null")
+            texts = model.decode_all(values.to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(), dtype=np.int64))
+            texts = pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], texts], names=[*kept, name])
 
     return rows.select(*[col(c) for c in kept], col(ids_col).alias(ids)).mapInArrow(run, schema)
 
